@@ -18,3 +18,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context.
+
+    Spark's own file server carries it, so workers need neither a shared folder
+    nor an installed copy.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_factloom_shipped", False):
+        return
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parent
+    at = os.path.join(os.path.abspath(tempfile.mkdtemp()), "factloom_src.zip")
+    with zipfile.ZipFile(at, "w") as out:
+        for p in sorted(top.rglob("*.py")):
+            out.write(p, p.relative_to(top.parent))
+    context.addPyFile(at)
+    context._factloom_shipped = True
