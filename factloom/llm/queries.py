@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import packing, token_counts
+from factloom.llm import language_id, packing, quality, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
     return {
+        "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op5_quality_rules": quality.op5_quality_rules,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op8_language_id": language_id.op8_language_id,
         "op10_token_counts": token_counts.op10_token_counts,
         "pipeline": run,
     }
