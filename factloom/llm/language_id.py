@@ -13,9 +13,8 @@ language, those whose hashed id is least. Inference is one pass over all rows.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +28,7 @@ MOST = 3
 ROUNDS = 8
 #: Penalty for each language above the first, as a multiple of the log of the number of words.
 PENALTY = 2.0
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"\P{L}+")
 UNKNOWN = "und"
 
 
