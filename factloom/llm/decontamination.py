@@ -10,9 +10,13 @@ RADIUS bits share at least one; what meets in a block and is within the radius
 is verified by the exact weighted Jaccard similarity of the shingles (the sum of
 the lesser over the sum of the greater counts).
 
-Shared shingles are found by one equi-join on their hashes. The benchmark's side
-is broadcast only while its counted shingles are under `BROADCAST_SHINGLES`;
-the text travels along only for shingles that match.
+While the benchmark has at most `LITERAL_SHINGLES` distinct shingles, counted
+first, each text is searched where it is read, against a hashed set of literals,
+and only texts with a shared shingle go on. Beyond that the distinct shingles of
+the texts are joined with the benchmark's by their hashes. Explodes here are
+outer, with nulls dropped after, and the few windows and pairs are checkpointed:
+Spark would else push filters down and repeat the splitting of a text for each
+of its words, or the making of a fingerprint for each of its bits.
 """
 
 from __future__ import annotations
@@ -20,13 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table
+from factloom.llm.common import saved, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 the expected distance is below 10 bits with a deviation of 2.9.
 RADIUS = 23
-BROADCAST_SHINGLES = 500_000
+LITERAL_SHINGLES = 20_000
 
 
 def words(text: Column) -> Column:
@@ -67,6 +71,21 @@ def with_fingerprint(df: DataFrame, array: str, out: str) -> DataFrame:
     return df.withColumn(f"{out}_fp", F.expr(fingerprint(f"{out}_hashes"))).drop(f"{out}_hashes")
 
 
+def hits(texts: DataFrame, hashes: list[int], k: int) -> DataFrame:
+    """Adds the places (from 1) of the k-word shingles whose hash is in a bounded list."""
+    known = ", ".join(f"{h}L" if h > -(1 << 63) else "(-9223372036854775807L - 1L)" for h in hashes)
+    return texts.withColumn("hits", F.expr(f"if(size(words) < {k}, array(), filter(sequence(1, size(words) - {k - 1}), i -> xxhash64(slice(words, i, {k})) in ({known})))"))
+
+
+def hits_by_join(texts: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """The same for a benchmark of any size: the texts' distinct shingles meet the benchmark's in a shuffle."""
+    every = texts.withColumn("hashes", F.expr(f"if(size(words) < {k}, array(), transform(sequence(1, size(words) - {k - 1}), i -> xxhash64(slice(words, i, {k}))))"))
+    own = every.select(F.col("doc_id").alias("hit_id"), F.explode_outer(F.array_distinct("hashes")).alias("hash")).where("hash is not null")
+    shared = own.join(places.select("hash").distinct(), "hash", "left_semi").groupBy("hit_id").agg(F.collect_set("hash").alias("shared"))
+    back = every.join(shared, F.col("doc_id").eqNullSafe(F.col("hit_id")))
+    return back.select("doc_id", "words", F.expr("transform(filter(transform(hashes, (h, i) -> struct(h, i + 1 as i)), x -> array_contains(shared, x.h)), x -> x.i)").alias("hits"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, similarity, start_word) of each document that holds a window like an item.
 
@@ -78,26 +97,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("item")).where("size(item) > 0")
     items = items.select("item_id", "item", F.size("item").alias("n"), F.least(F.size("item"), F.lit(SHINGLE)).alias("k")).distinct()
-    places = items.select("item_id", "n", "k", F.posexplode(F.expr(f"transform({shingles('item', 'k')}, s -> xxhash64(s))")).alias("place", "hash"))
-    bounded = places.count() <= BROADCAST_SHINGLES
+    items = saved(with_fingerprint(items, "item", "item"))
+    places = items.select("item_id", "n", "k", F.posexplode(F.expr("transform(item_shingles, s -> xxhash64(s))")).alias("place", "hash"))
+    places = saved(places)
+    hashes = [r["hash"] for r in places.select("hash").distinct().limit(LITERAL_SHINGLES + 1).collect()]
+    bounded = len(hashes) <= LITERAL_SHINGLES
     texts = docs.select("doc_id", words(F.col("text")).alias("words"))
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most five
     found = None
     for k in sizes:
-        own = places.where(F.col("k") == k)
-        at = texts.where(F.size("words") >= k).select("doc_id", "words", F.posexplode(F.expr(f"transform(sequence(1, size(words) - {k - 1}), i -> xxhash64(slice(words, i, {k})))")).alias("at", "hash"))
-        met = at.join(F.broadcast(own) if bounded else own, "hash").select("doc_id", "item_id", "n", F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.size("words") - F.col("n"))).alias("start"), "words")
+        own = places.where(F.col("k") == k).drop("k")
+        hit = hits(texts, hashes, k) if bounded else hits_by_join(texts, own, k)
+        at = hit.select("doc_id", "words", F.explode_outer("hits").alias("at")).where("at is not null").withColumn("hash", F.expr(f"xxhash64(slice(words, at, {k}))"))
+        start = F.greatest(F.lit(0), F.least(F.col("at") - 1 - F.col("place"), F.size("words") - F.col("n")))
+        met = at.join(F.broadcast(own) if bounded else own, "hash").select("doc_id", "item_id", "n", start.alias("start"), "words")
         met = met.select("doc_id", "item_id", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("window"))
         found = met if found is None else found.unionByName(met)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, similarity double, start_word int")
-    windows = with_fingerprint(found.distinct(), "window", "window").select("doc_id", "item_id", "start", "window_shingles", "window_fp")
+    windows = saved(with_fingerprint(saved(found.distinct()), "window", "window").select("doc_id", "item_id", "start", "window_shingles", "window_fp"))
     windows = windows.withColumn("block", F.explode(blocks(F.col("window_fp"))))
-    known = with_fingerprint(items, "item", "item").select(F.col("item_id").alias("known_id"), "item_shingles", "item_fp")
+    known = items.select(F.col("item_id").alias("known_id"), "item_shingles", "item_fp")
     index = known.withColumn("item_block", F.explode(blocks(F.col("item_fp"))))
     near = F.bit_count(F.col("window_fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
     same = F.col("item_id").eqNullSafe(F.col("known_id")) & (F.col("block") == F.col("item_block"))
     pairs = windows.join(F.broadcast(index) if bounded else index, same & near).select("doc_id", "item_id", "start", "window_shingles", "item_shingles").distinct()
+    pairs = saved(pairs)
     scored = pairs.select("doc_id", "item_id", "start", F.expr(weighted_similarity("window_shingles", "item_shingles")).alias("similarity")).where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.col2")).alias("start_word"))

@@ -43,29 +43,46 @@ def bit_votes(digests: bytes) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     """Unsigned SimHash of the text's word shingles, repeats included; 0 without a word."""
+    return fingerprint_views(text, words, seed, 1)[0]
+
+
+def fingerprint_views(text: str | None, words: int, seed: int, views: int) -> list[int]:
+    """The SimHash, then further ones of the same shingles whose hashes are mixed anew for each view."""
     tokens = text.encode().lower().split() if text else []
     if not tokens:
-        return 0
+        return [0] * views
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(sizes + 1) - 1
     k = min(words, len(tokens))
     first, last = (ends - sizes)[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist()
     digest = xxhash.xxh64_digest
-    votes = bit_votes(b"".join([digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)]))
-    return int.from_bytes(np.packbits(2 * votes > len(first)).tobytes(), "big")
-
-
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) with fp a signed long, for every row of (doc_id, text)."""
+    hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)])
+    out = []
+    for view in range(views):
+        if view:
+            mixed = np.frombuffer(hashes, ">u8").astype(np.uint64) + np.uint64(view * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+            voted = (mixed ^ (mixed >> np.uint64(31))).astype(">u8").tobytes()
+        else:
+            voted = hashes
+        out.append(int.from_bytes(np.packbits(2 * bit_votes(voted) > len(first)).tobytes(), "big"))
+    return out
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, views: int = 1) -> DataFrame:
+    """(doc_id, fp0, fp1, ...) as signed longs, a fingerprint a view, for every row of (doc_id, text)."""
     import pyarrow as pa
 
+    names = [f"fp{v}" for v in range(views)]
+
     def run(batches):
         for part in slices(batches):
-            fp = np.array([fingerprint(t, words, seed) for t in part.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint_views(t, words, seed, views) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, views)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fp.T)], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {id_type(docs)}", *(f"{n} long" for n in names)]))
 
 
 def unary(fp: Column) -> Column:
@@ -93,33 +110,54 @@ def cells(counts: Column, steps: int) -> Column:
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints in column fp that differ in 1 to `radius` bits."""
+    """Pairs (a, b), a < b, of nodes in rows (node, fp) whose fingerprints differ in at most `radius` bits."""
     if not 0 <= radius <= 5:
         raise ValueError("the grid covers radii of 0 to 5 bits")
     steps = 1 if radius >= 2 else 0
-    grid = distinct.select("fp", F.explode(cells(unary(F.col("fp")), steps)).alias("cell")).where("cell is not null")
-    left, right = grid.select("cell", F.col("fp").alias("a")), grid.select("cell", F.col("fp").alias("b"))
-    bound = F.bit_count(unary(F.col("a")).bitwiseXOR(unary(F.col("b")))) <= radius
-    exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    grid = distinct.select("node", "fp", F.explode(cells(unary(F.col("fp")), steps)).alias("cell")).where("cell is not null")
+    left, right = (grid.select("cell", F.col("node").alias(n), F.col("fp").alias(f"{n}_fp")) for n in "ab")
+    bound = F.bit_count(unary(F.col("a_fp")).bitwiseXOR(unary(F.col("b_fp")))) <= radius
+    exact = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius
     return left.join(right, (left.cell == right.cell) & (F.col("a") < F.col("b")) & bound & exact).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS, views: int = 1) -> DataFrame:
     """(doc_id, fp, component_id) for every row of (doc_id, text); all links count, none is lost.
 
-    component_id is the least doc_id reachable over links. Texts that are null,
-    empty or without a word have fingerprint 0 and link like any other. Repeated
-    rows keep a row each; null ids get a row, but never name a component unless
-    it has no other. Other columns are ignored; an empty table gives no rows.
+    component_id is the least doc_id reachable over links; with more than one
+    view two documents link if the fingerprints of any view do. Texts that are
+    null, empty or without a word have fingerprint 0 and link like any other.
+    Repeated rows keep a row each; null ids get a row, but never name a
+    component unless it has no other. Other columns are ignored; an empty table
+    gives no rows.
     """
-    prints = saved(fingerprints(docs, words, seed))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(first.select("fp"), radius))
-    linked = roots.join(first, F.col("node") == F.col("fp")).select("node", "root", "first_id")
+    names = [f"fp{v}" for v in range(views)]
+    prints = fingerprints(docs, words, seed, views)
+    prints = saved(prints.withColumn("node", F.col("fp0") if views == 1 else F.xxhash64(*names)))
+    first = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(n).alias(n) for n in names))
+    found = None
+    for n in names:
+        own = saved(links(first.select("node", F.col(n).alias("fp")), radius))
+        found = own if found is None else found.unionByName(own)
+    roots = components(found).withColumnRenamed("node", "linked")
+    linked = roots.join(first, F.col("linked") == F.col("node")).select("linked", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = linked.join(least, "root").select("node", "least_id")
-    classes = first.join(named, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    named = linked.join(least, "root").select("linked", "least_id")
+    classes = first.join(named, F.col("node") == F.col("linked"), "left").select(F.col("node").alias("class"), F.coalesce("least_id", "first_id").alias("component_id"))
+    return prints.join(classes, F.col("node") == F.col("class")).select("doc_id", F.col("fp0").alias("fp"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int, radius: int, views: int) -> DataFrame:
+    """The documents that name their component, with exactly their columns: one of each group.
+
+    Rows that repeat a kept document (id and text) stay once. Rows with a null
+    id stay where their component has no other id.
+    """
+    found = saved(near_duplicates(docs, words, SEED, radius, views).select("doc_id", "component_id"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
