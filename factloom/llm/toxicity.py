@@ -9,9 +9,10 @@ of tokens at or above one half, with character offsets; a logistic model of the
 largest marginal and the expected number of toxic tokens gives the document's
 score. Only texts are read for a score.
 
-Training takes a sample bounded by `SAMPLE_ROWS` labelled rows of at most
-`SAMPLE_CHARS` characters, those with the least hash of doc_id; scoring is one
-pass over all rows in which documents advance together, a token a step.
+Training takes a sample bounded by `SAMPLE_ROWS` labels, those with the least
+hash of doc_id, and the texts of their documents of at most `SAMPLE_CHARS`
+characters; scoring is one pass over all rows in which documents advance
+together, a token a step.
 """
 
 from __future__ import annotations
@@ -207,14 +208,9 @@ def train_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2) -> Model:
     """A model from labelled rows whose fold is not `held`; null ids, texts and labels are not learned from."""
     usable = labels.where(F.col("toxic").isin(0, 1) & (fold_column(F.col("doc_id"), mod) != held)).select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("label"))
+    chosen = usable.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(SAMPLE_ROWS)
     sized = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    sample = (
-        sized.join(usable, F.col("doc_id") == F.col("label_id"))
-        .select("doc_id", "text", "label")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text", "label")
-        .limit(SAMPLE_ROWS)
-        .toArrow()
-    )
+    sample = sized.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
     return train(sample.column("text").to_pylist(), sample.column("label").to_pylist())
 
 
