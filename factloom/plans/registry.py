@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.plans.adapters import Tables, with_adapters
+from factloom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +17,11 @@ def query(name: str, oracle: str | None = None):
     """Register a function of Tables; `oracle` is DuckDB SQL over base tables and adapters."""
 
     def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(Tables(spark, sf_dir))
+
+        QUERIES[name] = run
         if oracle:
             ORACLES[name] = with_adapters(oracle)
         return f
