@@ -10,7 +10,7 @@ from factloom.functions import normalize as N
 from factloom.operators import search, temporal
 from factloom.plans import quads as Q
 from factloom.plans.registry import query
-from factloom.sources import gazette, pages
+from factloom.sources import gazette, listing, pages
 
 
 @query("src_02_reference_parser", r"SELECT page_id, nullif(regexp_extract(url, '^https?://[^/]+/([a-z]{2})/(\d+)', 1), '') AS series, nullif(regexp_extract(url, '(?:^|/)(\d+)(?:[?#].*)?$', 1), '') AS code FROM pages")
@@ -103,6 +103,30 @@ def _(t):
     return gazette.article_events(t.sql(ARTICLES)).select("article_id", "clause", "event_type", "effect", "person", "role", "unit", "organization", "date_text", "end_condition")
 
 
+@query("src_09_listing_entries", "SELECT o_custkey AS page_id, count(DISTINCT o_orderkey) AS n, CASE WHEN count(DISTINCT o_orderkey) > 9 THEN 'total differs' END AS reason FROM orders GROUP BY 1")
+def _(t):
+    card = F.concat(F.lit('<article><a href="/op/'), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), F.lit('">x</a> Designan <footer>'), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), F.lit("</footer></article>"))
+    cards = t.orders.groupBy("o_custkey").agg(F.collect_set(card).alias("c"))
+    total = F.least(F.size("c"), F.lit(9)).cast("string")
+    html = F.concat(F.lit("<p>Del 01/01/2026 al 01/01/2026: "), total, F.lit(" resultados</p>"), F.array_join("c", ""))
+    found = listing.listing_entries(cards.select(F.col("o_custkey").alias("page_id"), html.alias("html")))
+    n = found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(listing.refused(found, "01/01/2026"), "page_id", "left")
+
+
+@query("ex_04_collective_events", """
+WITH a AS (SELECT DISTINCT l_orderkey AS d FROM lineitem), l AS (SELECT DISTINCT l_orderkey AS d, l_suppkey AS s FROM lineitem)
+SELECT d AS document_id, 0 AS article, CASE WHEN d % 2 = 0 THEN 'START' ELSE 'END' END AS effect, 'ANA ' || s AS person, CASE WHEN d % 3 = 0 THEN lpad(CAST(s AS VARCHAR), 8, '1') END AS identifier, 'Fedatarios' AS role, NULL AS organization FROM l""")
+def _(t):
+    d = F.col("l_orderkey")
+    people = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
+    heads = people.select(d.alias("document_id")).distinct().select("document_id", F.lit(0).alias("order_index"), F.lit("ARTICLE").alias("type"), F.when(F.col("document_id") % 2 == 0, "Artículo 1.- Designar como Fedatarios a los siguientes servidores:").otherwise("Artículo 1.- Dejar sin efecto las designaciones como Fedatarios de los servidores que se indican a continuación:").alias("text"))
+    table = heads.where("document_id % 3 = 0").select("document_id", F.lit(1).alias("order_index"), F.lit("TABLE_ROW").alias("type"), F.lit("N° | Nombres y Apellidos | DNI").alias("text"))
+    name, s = F.concat(F.lit("ANA "), F.col("l_suppkey").cast("string")), F.col("l_suppkey").cast("string")
+    rows = people.select(d.alias("document_id"), (F.col("l_suppkey") + 2).cast("int").alias("order_index"), F.when(d % 3 == 0, "TABLE_ROW").otherwise("LIST_ITEM").alias("type"), F.when(d % 3 == 0, F.concat(F.lit("1 | "), name, F.lit(" | "), F.lpad(s, 8, "1"))).otherwise(F.concat(F.lit("- "), name, F.lit("."))).alias("text"))
+    return gazette.collective_events(heads.unionByName(table).unionByName(rows))
+
+
 @query("ex_11_document_references", r"SELECT DISTINCT item_id, 'Ley' AS kind, '27594' AS number FROM summary WHERE item_id % 3 = 0")
 def _(t):
     x = t.summary.where("item_id % 3 = 0").select("item_id", F.explode(N.norm_citations(F.concat("summary", F.lit(" de conformidad con la Ley N° 27594 y la Ley 27594")))).alias("c"))
@@ -143,6 +167,13 @@ def _(t):
     return t.assignment.select(key_id("organization_id", "label").alias("id")).distinct().agg(F.count(F.lit(1)).alias("positions"))
 
 
+@query("ex_17_resolution_in_order")
+def _(t):
+    from factloom.operators.resolution import resolve
+
+    return resolve(t.sql("SELECT m.mention_id, m.mention_id AS seq, m.name, l.label, m.scheme, CASE WHEN m.mention_id % 3 = 0 THEN m.value END AS value FROM mention m JOIN label l ON l.item_id = m.mention_id"))
+
+
 @query("ex_19_cited_documents", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON strpos(d.text, substr(b.text, 1, 60)) > 0")
 def _(t):
     # passages meet texts on their first word of five letters or more, then in full

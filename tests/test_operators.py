@@ -65,3 +65,33 @@ def test_versions_and_ids(spark):
     assert [(r.capture_id, r.previous_id, r.version) for r in versioning.new_versions(c).orderBy("version").collect()] == [(1, None, 1), (3, 1, 2)]
     k = spark.createDataFrame([("a", None), (None, "a")], "x string, y string").select(versioning.key_id("x", "y").alias("k"))
     assert k.distinct().count() == 2
+
+
+def test_resolution_follows_the_order_and_never_links_by_name(spark):
+    from factloom.operators.resolution import resolve
+
+    rows = [
+        (1, 1, "Ana Paz", None, "dni", "1"), (2, 2, "ANA PAZ", None, "dni", None), (3, 3, "A. Paz", "Ministra del Interior", "dni", "1-"), (4, 4, "A. Paz", "Ministro del Interior", "dni", "2"),
+        (5, 5, "Luz", None, "dni", "3"), (6, 6, "A. PAZ", "Ministra de Interior", "dni", "3"), (7, 7, "Otro", None, "dni", "2"),
+    ]
+    got = {r.mention_id: (r.outcome, r.person_id, r.signal) for r in resolve(spark.createDataFrame(rows, "mention_id long, seq long, name string, label string, scheme string, value string")).collect()}
+    assert got == {1: ("NEW", 1, None), 2: ("NEW", 2, None), 3: ("LINKED", 1, "identifier"), 4: ("LINKED", 1, "office"), 5: ("NEW", 5, None), 6: ("CONFLICT", None, None), 7: ("LINKED", 1, "identifier")}
+
+
+def test_listing_guards():
+    from factloom.sources import listing
+
+    html = "<p>Normas del 07/08/2026 al 07/08/2026: 2 resultados</p><article><a href='/op/2539123-1'>Designan</a> 07/08/2026<footer>2539123-1</footer></article><li><a href='/op/2539124-1'>x</a><footer>9999999</footer></li><li><a href='/about'>y</a></li>"
+    got = listing.entries(html)
+    assert [(e[1], e[4], e[7]) for e in got] == [("2539123-1", True, 2), ("2539124-1", False, 2)] and got[0][5:7] == ("07/08/2026", "07/08/2026")
+
+
+def test_article_events():
+    from factloom.sources.gazette import clause_event, collective
+
+    e = clause_event("Designar a la señora ANA ROJAS DIAZ, identificada con DNI N° 09342789, en el cargo de Directora de la Oficina General de Planeamiento del Ministerio de Cultura, siendo su primer día de labores el 7 de agosto de 2026.")
+    assert e == ("DESIGNATION", "START", "ANA ROJAS DIAZ", "09342789", "Directora", "Oficina General de Planeamiento", "Ministerio de Cultura", "7 de agosto de 2026", None, False)
+    assert clause_event("Encargar a la Oficina General de Administración el cumplimiento") is None
+    assert clause_event("Encargar al señor PABLO RUIZ, las funciones de Jefe, a partir de la fecha, en adición a sus funciones")[7:] == (None, None, True)
+    table = [("TABLE_ROW", "N° | Cargo"), ("TABLE_ROW", "1 | Jefe")]
+    assert collective("Designar como Fedatarios a los siguientes servidores:", table) == []
