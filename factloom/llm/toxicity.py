@@ -18,7 +18,6 @@ together, a token a step.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import fold_column, id_type, slices, table
 
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 4_000
 SAMPLE_CHARS = 20_000
 HASHED = 1 << 18
 THRESHOLD = 0.3
@@ -144,46 +143,52 @@ def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
-    """The field and the document model. Without both labels every text scores the rate of label 1."""
-    y = np.array(labels, float)
-    own = [forms(t) for t in texts]
-    trans = np.array([[1.0, 0.05], [0.5, 0.5]])
-    weights, bias = np.zeros(HASHED), -4.0
-    if 0 < y.sum() < len(y):
-        seen = (Counter(), Counter())
-        for tokens, label in zip(own, labels, strict=True):
-            seen[int(label)].update(set(tokens))
-        n = (len(y) - y.sum(), y.sum())
-        toxic = {f for f, c in seen[1].items() if f and c >= SUPPORT and (c / n[1]) >= LIKELIER * (seen[0][f] + 0.5) / n[0]}
-        weights, bias, trans = train_field(own, labels, toxic)
-    model = Model(weights, bias, trans, np.zeros(3))
-    scorer, inputs = model.scorer(), []
-    for at in range(0, len(texts), 500):
-        inputs.append(summary(*scorer.tokens(texts[at : at + 500])))
-    model.logistic = train_logistic(np.concatenate(inputs) if inputs else np.zeros((0, 3)), y)
-    return model
-
+    """The field and the document model. Without both labels every text scores the rate of label 1.
 
-def train_field(own: list[list[str]], labels: list[int], toxic: set[str]):
+    Tokens become numbers of their forms text by text, so the sample's words are held once each.
+    """
+    y = np.array(labels, np.int64)
     ids: dict[str, int] = {}
-    codes = np.fromiter((ids.setdefault(f, len(ids)) for tokens in own for f in tokens), np.int64)
-    target = np.fromiter((float(label and f in toxic) for tokens, label in zip(own, labels, strict=True) for f in tokens), float)
-    sizes = np.array([min(SEGMENT, len(t) - at) for t in own for at in range(0, len(t), SEGMENT)], np.int64)
-    last = np.cumsum(sizes) - 1
-    inner = np.setdiff1d(np.arange(len(codes)), last)
+    own = [np.array([ids.setdefault(f, len(ids)) for f in forms(t)], np.int32) for t in texts]
+    sizes = np.array([len(x) for x in own], np.int64)
     hashed = [features(f) for f in ids]
+    empty = ids.get("")
     feature = np.array([i for h in hashed for i in h], np.int64)
     owner = np.repeat(np.arange(len(ids)), [len(h) for h in hashed])
+    del hashed, ids
+    weights, bias, trans = np.zeros(HASHED), -4.0, np.array([[1.0, 0.05], [0.5, 0.5]])
+    kinds = int(owner[-1]) + 1 if len(owner) else 0
+    kinds = max(kinds, 1 + max((int(x.max()) for x in own if len(x)), default=-1))
+    if 0 < y.sum() < len(y):
+        seen = [np.zeros(kinds), np.zeros(kinds)]
+        for codes, label in zip(own, labels, strict=True):
+            seen[int(label)][np.unique(codes)] += 1
+        n = (len(y) - y.sum(), y.sum())
+        toxic = (seen[1] >= SUPPORT) & (seen[1] / n[1] >= LIKELIER * (seen[0] + 0.5) / n[0])
+        if empty is not None:
+            toxic[empty] = False
+        weights, bias, trans = train_field(own, sizes, y, toxic, feature, owner, kinds)
+    emission = bias + np.bincount(owner, weights[feature], minlength=kinds)
+    codes = np.concatenate(own) if own else np.zeros(0, np.int32)
+    inputs = summary(marginals(emission[codes], sizes, trans), sizes)
+    return Model(weights.astype(np.float32), bias, trans, train_logistic(inputs, y))
+
+
+def train_field(own: list[np.ndarray], lengths: np.ndarray, y: np.ndarray, toxic: np.ndarray, feature: np.ndarray, owner: np.ndarray, kinds: int):
+    codes = np.concatenate(own)
+    target = toxic[codes] & np.repeat(y == 1, lengths)
+    sizes = np.array([min(SEGMENT, n - at) for n in lengths.tolist() for at in range(0, n, SEGMENT)], np.int64)
+    last = np.zeros(len(codes), bool)
+    last[np.cumsum(sizes) - 1] = True
+    inner = np.flatnonzero(~last)
     weights, bias, log_trans = np.zeros(HASHED), -4.0, np.log(np.array([[1.0, 0.05], [0.5, 0.5]]))
     square_w, square_b, square_t = np.full(HASHED, 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (target[inner].astype(int), target[inner + 1].astype(int)), 1)
+    seen = np.bincount(2 * target[inner] + target[inner + 1], minlength=4).reshape(2, 2)
     for _ in range(EPOCHS):  # ascent of the conditional likelihood with a small penalty, each weight with its own step
-        kind = bias + np.bincount(owner, weights[feature], minlength=len(ids))
-        emission = kind[codes]
+        emission = (bias + np.bincount(owner, weights[feature], minlength=kinds))[codes]
         p = marginals(emission, sizes, np.exp(log_trans))
         miss = target - p
-        of_kind = np.bincount(codes, miss, minlength=len(ids))
+        of_kind = np.bincount(codes, miss, minlength=kinds)
         g = np.bincount(feature, of_kind[owner], minlength=HASHED) - 0.05 * weights
         gt = seen - pair_counts(emission, p, sizes, np.exp(log_trans), inner) - 0.05 * log_trans
         gb = miss.sum()
