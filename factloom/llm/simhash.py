@@ -135,11 +135,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radiu
     prints = fingerprints(docs, words, seed, views)
     prints = saved(prints.withColumn("node", F.col("fp0") if views == 1 else F.xxhash64(*names)))
     first = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(n).alias(n) for n in names))
-    found = None
-    for n in names:
-        own = saved(links(first.select("node", F.col(n).alias("fp")), radius))
-        found = own if found is None else found.unionByName(own)
-    roots = components(found).withColumnRenamed("node", "linked")
+    # each pass links only what earlier ones left apart, so a dense group gives few pairs more than once
+    passes = [(n, radius) for n in names] if views == 1 else [("fp0", min(3, radius)), *((n, radius) for n in names)]
+    roots = None
+    for n, within in passes:
+        own = first.select(F.col("node").alias("of"), F.col(n).alias("fp"))
+        if roots is not None:
+            own = own.join(roots, F.col("of") == F.col("linked"), "left")
+        own = own.select((F.col("of") if roots is None else F.coalesce("root", "of")).alias("node"), "fp").distinct()
+        met = components(links(own, within)).select(F.col("node").alias("was"), F.col("root").alias("now"))
+        if roots is None:
+            roots = met.select(F.col("was").alias("linked"), F.col("now").alias("root"))
+        else:
+            moved = roots.join(met, F.col("root") == F.col("was"), "left").select("linked", F.coalesce("now", "root").alias("root"))
+            fresh = met.join(roots.select("linked"), F.col("was") == F.col("linked"), "left_anti").select(F.col("was").alias("linked"), F.col("now").alias("root"))
+            roots = saved(moved.unionByName(fresh))
     linked = roots.join(first, F.col("linked") == F.col("node")).select("linked", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     named = linked.join(least, "root").select("linked", "least_id")

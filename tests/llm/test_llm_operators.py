@@ -92,6 +92,33 @@ def test_grid_finds_every_pair(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_views_link_as_all_their_pairs_do(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(12):
+        w = [rng.choice(WORDS) for _ in range(120)]
+        for c in range(8):
+            v = list(w)
+            for _ in range(c):
+                v[rng.randrange(len(v))] = f"z{c}"
+            rows.append((100 * i + c, " ".join(v)))
+    views = [simhash.fingerprint_views(t, 5, 42, 3) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if any((a ^ b).bit_count() <= 5 for a, b in zip(views[i], views[j], strict=True)):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, rows), 5, 42, 5, 3).collect()}
+    assert got == {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
+
+
 def test_keep_one_keeps_one_of_each_group(spark):
     rng = random.Random(2)
     base = " ".join(rng.choice(WORDS) for _ in range(200))
