@@ -7,26 +7,30 @@ counts: one fold of the training documents is deleted from the counts, and the
 rest's estimates are mixed so as to make that fold likely. Scores then use the
 counts of all training documents.
 
-Counts are of the whole corpus and are held by no single task. Documents are
-dealt by a hash into blocks of about `BLOCK` rows. A block asks for its distinct
-words and bigrams (64-bit hashes, with its own counts), sorted and cut by
-ranges of the hash; each range adds up what all blocks sent and answers every
-block with the totals of just its keys, in the order asked. A key comes at most
-once from a block, so frequent words and copies load no range more than others.
-Only the held-out fold's histogram of quantised estimates, bounded by
-its grid, reaches the driver.
+Counts are of the whole corpus and are held by no single task. Texts are read
+once, where they lie, into blocks of at most `BLOCK` documents and about `TOKENS`
+tokens: compressed arrays of word numbers, checkpointed in place of the texts. A
+block asks for its distinct words and bigrams (64-bit hashes, with its own
+counts), sorted and cut by ranges of the hash; each range adds up what all blocks
+sent and answers every block with the totals of just its keys, in the order
+asked. A key comes at most once from a block, so frequent words and copies load
+no range more than others. Only the held-out fold's histogram of quantised
+estimates, bounded by its grid, reaches the driver.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fold, fold_column, id_type, saved, table
+from factloom.llm.common import fold, id_type, released, saved, slices, table
 
-BLOCK = 3_000
+BLOCK, TOKENS = 3_000, 2_000_000
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
 #: Context-frequency buckets: by powers of two, the last open.
 CONTEXTS = 14
@@ -45,34 +49,26 @@ class Hashes(dict):
 
 
 class Block:
-    """Tokens of a block's documents as arrays; each document ends with the end token."""
-
-    def __init__(self, ids: list, texts: list):
-        known, tokens, sizes = Hashes(), [], []
-        for text in texts:
-            own = text.encode().lower().split() if text else []
-            tokens += [known[w] for w in own]
-            tokens.append(END)
-            sizes.append(len(own) + 1)
-        self.ids, self.sizes = ids, np.array(sizes, np.int64)
-        self.token = np.array(tokens, np.uint64)
-        self.owner = np.repeat(np.arange(len(ids)), self.sizes)
-        before = np.empty_like(self.token)
-        before[1:] = self.token[:-1]
-        self.first = np.cumsum(self.sizes) - self.sizes
-        before[self.first] = START
+    """Tokens of a block's documents as numbers of its distinct words; each document ends with the end token."""
+
+    def __init__(self, ids: list, sizes: np.ndarray, words: np.ndarray, word: np.ndarray):
+        self.ids, self.sizes, self.words, self.word = ids, sizes, words, word
+        self.owner = np.repeat(np.arange(len(ids)), sizes)
+        self.first = np.cumsum(sizes) - sizes
         self.folds = np.array([-1 if (f := fold(i, FOLDS)) is None else f for i in ids], np.int64)
-        pair = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (self.token * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+        # the words' keys also hold the start, counted once a document; contexts are found there
+        self.start = int(np.searchsorted(words, np.uint64(START)))
+        self.context = np.empty_like(word)
+        self.context[1:] = word[:-1]
+        self.context[self.first] = self.start
+        pair = (words[self.context] * np.uint64(0x9E3779B97F4A7C15)) ^ (words[word] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
         pair ^= pair >> np.uint64(32)
         pair *= np.uint64(0xD6E8FEB86659FD93)
-        # the words' keys also hold the start, counted once a document; contexts are found there
-        self.words, self.word = np.unique(np.concatenate([self.token, [np.uint64(START)]]), return_inverse=True)
-        self.start = int(self.word[-1])
-        self.word = self.word[:-1]
         self.pairs, self.pair = np.unique(pair, return_inverse=True)
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
-        self.context[self.first] = self.start
+
+    @classmethod
+    def of_row(cls, ids: list, sizes: bytes, words: bytes, word: bytes) -> Block:
+        return cls(ids, np.frombuffer(zlib.decompress(sizes), np.uint32).astype(np.int64), unpacked(zlib.decompress(words)), np.frombuffer(zlib.decompress(word), np.uint32).astype(np.int64))
 
     def counts(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys with their counts in the kept training folds and in the deleted one."""
@@ -95,11 +91,64 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def blocks(docs: DataFrame, n: int) -> DataFrame:
-    """(block, doc_id, text) with blocks 0 to n - 1, the deleted fold apart in blocks -1, -2, ..."""
-    at = lambda m: F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(max(1, m))).cast("int")
-    deleted = F.coalesce(fold_column(F.col("doc_id"), FOLDS) == DELETED, F.lit(False))
-    return docs.select(F.when(deleted, -1 - at(-(-n // FOLDS))).otherwise(at(n - n // FOLDS)).alias("block"), "doc_id", "text")
+class Gathering:
+    """Documents on their way into a block."""
+
+    def __init__(self):
+        self.ids, self.sizes, self.tokens, self.known, self.total = [], [], [], Hashes(), 0
+
+    def add(self, doc_id, text: str | None) -> None:
+        known = self.known
+        own = [known[w] for w in text.encode().lower().split()] if text else []
+        own.append(END)
+        self.ids.append(doc_id)
+        self.sizes.append(len(own))
+        self.tokens.append(np.array(own, np.uint64))
+        self.total += len(own)
+
+    def full(self) -> bool:
+        return len(self.ids) >= BLOCK or self.total >= TOKENS
+
+    def row(self) -> tuple:
+        words, word = np.unique(np.concatenate([*self.tokens, [np.uint64(START)]]), return_inverse=True)
+        return (self.ids, *(zlib.compress(x, 1) for x in (np.array(self.sizes, np.uint32).tobytes(), packed(words), word[:-1].astype(np.uint32).tobytes())))
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """(block, ids, sizes, words, word) of all rows; the deleted fold has blocks of its own, below 0."""
+    import pyarrow as pa
+
+    doc_type = id_type(docs)
+
+    def run(batches):
+        base, n = TaskContext.get().partitionId() << 32, 0
+        open_ = {False: Gathering(), True: Gathering()}
+
+        def row(deleted: bool):
+            nonlocal n
+            block = base + n
+            n += 1
+            ids, *data = open_[deleted].row()
+            open_[deleted] = Gathering()
+            return pa.RecordBatch.from_arrays([pa.array([-1 - block if deleted else block], pa.int64()), pa.array([ids], pa.list_(id_kind)), *(pa.array([d], pa.binary()) for d in data)], ["block", "ids", "sizes", "words", "word"])
+
+        id_kind = pa.int64()
+        for part in slices(batches):
+            id_kind = part.column(0).type
+            for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                deleted = fold(i, FOLDS) == DELETED
+                open_[deleted].add(i, text)
+                if open_[deleted].full():
+                    yield row(deleted)
+        for deleted, g in open_.items():
+            if g.ids:
+                yield row(deleted)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"block long, ids array<{doc_type}>, sizes binary, words binary, word binary")
+
+
+def block_of(rows, i: int = 0) -> Block:
+    return Block.of_row(*(rows.column(c)[i].as_py() for c in ("ids", "sizes", "words", "word")))
 
 
 def requests(dealt: DataFrame, ranges: int) -> DataFrame:
@@ -107,20 +156,19 @@ def requests(dealt: DataFrame, ranges: int) -> DataFrame:
     import pyarrow as pa
 
     shift = np.uint64(64 - (ranges.bit_length() - 1))
+    names = ["range", "kind", "block", "keys", "kept", "deleted"]
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
-    def ask(rows):
-        block = Block(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist())
-        out = []
-        for kind in (WORD, PAIR):
-            keys, kept, deleted = block.counts(kind)
-            cuts = np.searchsorted(keys >> shift, np.arange(ranges + 1, dtype=np.uint64)) if ranges > 1 else [0, len(keys)]
-            for r in range(ranges):
-                a, b = cuts[r], cuts[r + 1]
-                if a < b:
-                    out.append((r, kind, rows.column("block")[0].as_py(), packed(keys[a:b]), kept[a:b].astype(np.uint32).tobytes(), deleted[a:b].astype(np.uint32).tobytes()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "kind", "block", "keys", "kept", "deleted"])
+    def ask(batches):
+        for rows in slices(batches, 1):
+            block, name = block_of(rows), rows.column("block")[0].as_py()
+            for kind in (WORD, PAIR):
+                keys, kept, deleted = block.counts(kind)
+                cuts = np.searchsorted(keys >> shift, np.arange(ranges + 1, dtype=np.uint64)) if ranges > 1 else [0, len(keys)]
+                out = [(r, kind, name, packed(keys[a:b]), *(zlib.compress(x[a:b].astype(np.uint32).tobytes(), 1) for x in (kept, deleted))) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return dealt.groupBy("block").applyInArrow(ask, "range int, kind int, block int, keys binary, kept binary, deleted binary")
+    return dealt.mapInArrow(ask, "range int, kind int, block long, keys binary, kept binary, deleted binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -134,7 +182,7 @@ def answers(asked: DataFrame) -> DataFrame:
     def add(rows):
         parts = [unpacked(k) for k in rows.column("keys").to_pylist()]
         keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-        kept, deleted = (np.bincount(at, np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column(c).to_pylist()]), len(keys)).astype(np.uint32) for c in ("kept", "deleted"))
+        kept, deleted = (np.bincount(at, np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in rows.column(c).to_pylist()]), len(keys)).astype(np.uint32) for c in ("kept", "deleted"))
         sums = [[0, 0, 0, 0] for _ in parts]
         if rows.column("kind")[0].as_py() == WORD:
             own = keys != np.uint64(START)
@@ -143,17 +191,17 @@ def answers(asked: DataFrame) -> DataFrame:
         cuts = np.cumsum([len(p) for p in parts])[:-1]
         told = [np.split(x[at], cuts) for x in (kept, deleted)]
         return pa.Table.from_arrays(
-            [rows.column("block"), rows.column("kind"), rows.column("range"), *(pa.array([x.tobytes() for x in t], pa.binary()) for t in told), pa.array(sums, pa.list_(pa.int64()))],
+            [rows.column("block"), rows.column("kind"), rows.column("range"), *(pa.array([zlib.compress(x.tobytes(), 1) for x in t], pa.binary()) for t in told), pa.array(sums, pa.list_(pa.int64()))],
             ["block", "kind", "range", "kept", "deleted", "sums"],
         )
 
-    return asked.groupBy("range", "kind").applyInArrow(add, "block int, kind int, range int, kept binary, deleted binary, sums array<long>")
+    return asked.groupBy("range", "kind").applyInArrow(add, "block long, kind int, range int, kept binary, deleted binary, sums array<long>")
 
 
 def told(rows, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's totals of a kind (kept, deleted), in the order of its keys."""
     mine = sorted((r, k, d) for t, r, k, d in zip(*(rows.column(c).to_pylist() for c in ("kind", "range", "kept", "deleted")), strict=True) if t == kind)
-    return tuple(np.concatenate([np.frombuffer(m[i], np.uint32) for m in mine]).astype(np.int64) for i in (1, 2))
+    return tuple(np.concatenate([np.frombuffer(zlib.decompress(m[i]), np.uint32) for m in mine]).astype(np.int64) for i in (1, 2))
 
 
 def bucket(context_count: np.ndarray) -> np.ndarray:
@@ -174,7 +222,7 @@ def held_out_histogram(dealt: DataFrame, answered: DataFrame, n: int) -> DataFra
         none = pa.schema([("context", pa.int32()), ("pair", pa.int32()), ("word", pa.int32()), ("n", pa.int64())]).empty_table()
         if not docs.num_rows or not rows.num_rows:
             return none
-        block = Block(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist())
+        block = block_of(docs)
         context, pair, word = estimates(block, told(rows, WORD)[0], told(rows, PAIR)[0], n)
         level = [np.where(p > 0, np.round(-STEPS * np.log2(np.maximum(p, 1e-300))), -1).astype(np.int64) for p in (pair, word)]
         code, count = np.unique((context * 2048 + level[0] + 1) * 2048 + level[1] + 1, return_counts=True)
@@ -205,10 +253,11 @@ def scores(dealt: DataFrame, answered: DataFrame, n: int, v: int, weights: np.nd
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(docs, rows):
-        ids = docs.column("doc_id")
+        kind = docs.schema.field("ids").type.value_type
         if not docs.num_rows or not rows.num_rows:
-            return pa.Table.from_arrays([ids.slice(0, 0), *(pa.array([], t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
-        block = Block(ids.to_pylist(), docs.column("text").to_pylist())
+            return pa.Table.from_arrays([pa.array([], t) for t in (kind, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
+        block = block_of(docs)
+        ids = pa.array(block.ids, kind)
         words, pairs = (sum(told(rows, kind)) for kind in (WORD, PAIR))
         context, pair, word = estimates(block, words, pairs, n)
         w = weights[context]
@@ -231,10 +280,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     scored each. Other columns are ignored. Without training documents every
     estimate but the uniform one is 0. An empty table gives no rows.
     """
-    rows = docs.count()
-    n_blocks = max(1, -(-rows // BLOCK))
-    dealt = blocks(docs, n_blocks)
+    dealt = saved(blocks(docs))
+    n_blocks = max(1, dealt.count())
     answered = saved(answers(requests(dealt, 1 << max(0, (n_blocks - 1).bit_length()))))
+    released(docs.sparkSession)  # the requests, which nothing needs any more
     sums = answered.select(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(4))).first()
     kept_n, kept_v, n, v = (s or 0 for s in sums)
     answered = answered.drop("sums")
