@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -52,12 +51,3 @@ def saved(df: DataFrame) -> DataFrame:
     """The rows, materialised in the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def released(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of stages that no DataFrame reaches any more.
-
-    Its cleaner acts when the driver collects garbage, which else may take long.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fold, id_type, released, saved, slices, table
+from factloom.llm.common import fold, id_type, saved, slices, table
 
 BLOCK, TOKENS = 3_000, 2_000_000
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
@@ -283,7 +283,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     dealt = saved(blocks(docs))
     n_blocks = max(1, dealt.count())
     answered = saved(answers(requests(dealt, 1 << max(0, (n_blocks - 1).bit_length()))))
-    released(docs.sparkSession)  # the requests, which nothing needs any more
     sums = answered.select(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(4))).first()
     kept_n, kept_v, n, v = (s or 0 for s in sums)
     answered = answered.drop("sums")
