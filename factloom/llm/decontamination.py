@@ -1,9 +1,9 @@
 """Benchmark decontamination with SimHash over item-sized windows, in DataFrame functions only.
 
 Texts become lower-case words of letters and digits. Any window that reaches the
-similarity shares at least one five-word shingle with its item, so windows are
-laid only where a shared shingle aligns an item with the text: as long as the
-item, starting where the shingle's place in the item puts it. Windows and items
+similarity s shares at least s / (1 + s) of both's shingles with its item, so
+windows as long as the item are laid at every start from which the text has as
+many shared shingles, whatever their order in the item. Windows and items
 get 64-bit SimHash fingerprints of their shingles, repeats included. The
 fingerprints are cut into RADIUS + 1 blocks, of which two fingerprints within
 RADIUS bits share at least one; what meets in a block and is within the radius
@@ -106,11 +106,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most five
     found = None
     for k in sizes:
-        own = places.where(F.col("k") == k).drop("k")
+        own = places.where(F.col("k") == k).select("item_id", "n", "hash").distinct()
         hit = hits(texts, hashes, k) if bounded else hits_by_join(texts, own, k)
-        at = hit.select("doc_id", "words", F.explode_outer("hits").alias("at")).where("at is not null").withColumn("hash", F.expr(f"xxhash64(slice(words, at, {k}))"))
-        start = F.greatest(F.lit(0), F.least(F.col("at") - 1 - F.col("place"), F.size("words") - F.col("n")))
-        met = at.join(F.broadcast(own) if bounded else own, "hash").select("doc_id", "item_id", "n", start.alias("start"), "words")
+        at = hit.select("doc_id", "words", "hits", F.posexplode_outer("hits").alias("nth", "at")).where("at is not null").withColumn("hash", F.expr(f"xxhash64(slice(words, at, {k}))"))
+        met = at.join(F.broadcast(own) if bounded else own, "hash")
+        met = met.withColumn("own", F.least(F.col("n"), F.size("words")) - k + 1)
+        met = met.withColumn("need", F.greatest(F.lit(1), F.ceil(similarity / (1 + similarity) * (F.col("own") + F.col("n") - k + 1) - 1e-9).cast("int")))
+        # starts of windows whose first hit of the item this is: what comes before leaves room for `need` hits, and so many end inside
+        last = F.try_element_at("hits", F.col("nth") + F.col("need"))
+        met = met.withColumn("low", F.greatest(F.lit(0), F.col("at") - 1 - F.col("own") + F.col("need"), last - F.col("own")))
+        met = met.withColumn("high", F.least(F.col("at") - 1, F.greatest(F.lit(0), F.size("words") - F.col("n"))))
+        met = met.where(last.isNotNull() & (F.col("low") <= F.col("high"))).withColumn("start", F.explode(F.sequence("low", "high")))
         met = met.select("doc_id", "item_id", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("window"))
         found = met if found is None else found.unionByName(met)
     if found is None:
