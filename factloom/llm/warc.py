@@ -3,22 +3,42 @@
 Each response gives two records that refer to it: `metadata` lists where the
 payload came from (its HTTP headers, size and digest), `conversion` holds the
 text of the page. Both keep the response's id in WARC-Refers-To, its target and
-date, and carry digests of their own blocks. It is one pass without a shuffle.
+date, and carry digests of their own blocks. It is one pass without a shuffle; a
+page is parsed where it is read, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import html as entities
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table
+from factloom.llm.common import slices, table
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
-DROPPED = ("script", "style", "noscript", "template")
-BLOCKS = "p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|article|section|header|footer|nav|aside|main|title|blockquote|pre|body|html|head"
-#: Fixed names of entities; the ampersand comes last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
+#: Elements whose content is no text of the page: raw ones end at their first end tag, the others nest.
+RAW = frozenset("script style iframe noembed noframes".split())
+HIDDEN = frozenset("noscript template".split())
+#: Elements whose content holds character references, but no tags.
+PLAIN = frozenset("title textarea".split())
+BLOCKS = frozenset(
+    "p div br hr h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr table article section header footer nav aside main title blockquote pre body html head".split()
+)
+#: A comment, a tag with its name, or another construct; what is open at the end of the page goes to its end.
+#: A quote opens a value only after an equals sign, and a `<` before anything but these is text.
+MARKUP = re.compile(
+    r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))"""
+    r"""|(/?)([a-zA-Z][^\s/>]*)(?:[^>=]|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))?)*+(?:>|\Z)"""
+    r"""|[!?/][^>]*(?:>|\Z))""",
+    re.S,
+)
+REFERENCE = re.compile("&(?:#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?|[a-zA-Z][a-zA-Z0-9]*;?)")
+SPACES = re.compile(r"[ \t\r\f]+")
+LINE_ENDS = re.compile(r" ?\n[ \n]*")
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in sorted(RAW | PLAIN)}
 
 
 def digest(text: Column) -> Column:
@@ -31,36 +51,60 @@ def urn(text: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: no comments, scripts or tags; a line for each block; white space collapsed.
+def character(found: re.Match) -> str:
+    """What a reference stands for; itself if its number is that of no character."""
+    digits = (found[1] or found[2] or "").lstrip("0")
+    if found[1] or found[2]:
+        code = int(digits or "0", 16 if found[1] else 10) if len(digits) < 8 else 0
+        if not (0 < code < 0xD800 or 0xDFFF < code < 0x110000):
+            return found[0]
+    return entities.unescape(found[0])
 
-    Named entities of ENTITIES and the ampersand are decoded, and numeric ones of valid characters.
-    """
-    x = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in DROPPED:
-        x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    x = F.regexp_replace(x, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    x = F.regexp_replace(x, r"<[/!]?[a-zA-Z][^>]*>", "")
-    for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    x = F.when(F.instr(x, "&#") > 0, numeric(x)).otherwise(x)
-    x = F.replace(x, F.lit("&amp;"), F.lit("&"))
-    x = F.regexp_replace(x, r"[ \t\r\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(x, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
+def page_text(page: str) -> str:
+    """Text of a page: no comments, scripts or tags; a line for each block; white space collapsed.
 
-def numeric(text: Column) -> Column:
-    """Numeric character references decoded; those of no character stay as they are."""
-    parts = F.split(text, "&#")
-
-    def one(part: Column) -> Column:
-        hexed, dec = F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,6});", 1), F.regexp_extract(part, r"^([0-9]{1,7});", 1)
-        code = F.when(hexed != "", F.conv(hexed, 16, 10).cast("int")).when(dec != "", dec.cast("int"))
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
-        return F.when(valid, F.concat(char, F.regexp_replace(part, r"^[xX]?[0-9a-fA-F]+;", ""))).otherwise(F.concat(F.lit("&#"), part))
-
-    return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+    Markup is read once, from left to right, so that a comment inside a script
+    or a tag inside a comment is none. Character references are decoded by the
+    full table of names, after the markup is gone; those of no character stay.
+    """
+    out, at, hidden = [], 0, 0
+    while found := MARKUP.search(page, at):
+        if not hidden and found.start() > at:
+            out.append(page[at : found.start()])
+        at, name = found.end(), found[2]
+        if name is None:
+            continue
+        name = name.lower()
+        if name in BLOCKS and not hidden:
+            out.append("\n")
+        if name in HIDDEN:
+            hidden = max(0, hidden + (-1 if found[1] else 1))
+        elif name in ENDS and not found[1]:
+            end = ENDS[name].search(page, at)
+            if name in PLAIN and not hidden:
+                out += [page[at : end.start() if end else len(page)], "\n"]
+            at = end.end() if end else len(page)
+    if not hidden:
+        out.append(page[at:])
+    text = "".join(out)
+    if "&" in text:
+        text = REFERENCE.sub(character, text)
+    return LINE_ENDS.sub("\n", SPACES.sub(" ", text.replace("\xa0", " "))).strip(" \n")
+
+
+def with_text(found: DataFrame) -> DataFrame:
+    """The rows with the text of their payload added as `text`."""
+    import pyarrow as pa
+
+    at = found.columns.index("payload")
+
+    def run(batches):
+        for part in slices(batches):
+            text = pa.array([page_text(p) for p in part.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, text], [*part.schema.names, "text"])
+
+    return found.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema), "text string"]))
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -80,8 +124,8 @@ def derive(found: DataFrame) -> DataFrame:
     """Two records for each response row of (page_id, response_id, target_uri, source_headers, payload).
 
     Columns: page_id, record_type, record_id, refers_to, target_uri, payload_digest,
-    block_digest, content_length (bytes), block. An empty payload gives an empty
-    conversion; repeated rows give records each, with equal ids; other columns
+    block_digest, content_length (bytes), block. An empty or null payload gives an
+    empty conversion; repeated rows give records each, with equal ids; other columns
     are ignored; an empty table gives no records.
     """
     payload_digest = digest(F.col("payload"))
@@ -89,8 +133,9 @@ def derive(found: DataFrame) -> DataFrame:
         F.lit("source-payload-digest: "), payload_digest, F.lit("\r\nsource-payload-length: "), F.octet_length("payload").cast("string"),
         F.lit("\r\nsource-headers: "), F.replace(F.regexp_replace("source_headers", "(\r\n)+$", ""), F.lit("\r\n"), F.lit("\r\n ")), F.lit("\r\n"),
     )
-    kinds = F.array(F.struct(F.lit("metadata").alias("record_type"), metadata.alias("block")), F.struct(F.lit("conversion").alias("record_type"), plain_text(F.col("payload")).alias("block")))
-    rows = found.select("page_id", "response_id", "target_uri", payload_digest.alias("payload_digest"), F.inline(kinds))
+    kinds = F.array(F.struct(F.lit("metadata").alias("record_type"), metadata.alias("block")), F.struct(F.lit("conversion").alias("record_type"), F.col("text").alias("block")))
+    known = found.select("page_id", "response_id", "target_uri", "source_headers", F.coalesce("payload", F.lit("")).alias("payload"))
+    rows = with_text(known).select("page_id", "response_id", "target_uri", payload_digest.alias("payload_digest"), F.inline(kinds))
     return rows.select(
         "page_id",
         "record_type",
@@ -127,15 +172,15 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_sql() -> str:
-    x = r"regexp_replace(payload, '<!--.*?-->', '', 'gs')"
-    for tag in DROPPED:
-        x = rf"regexp_replace({x}, '<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'gis')"
-    x = rf"regexp_replace({x}, '</?(?:{BLOCKS})\b[^>]*>', chr(10), 'gi')"
-    x = rf"regexp_replace({x}, '<[/!]?[a-zA-Z][^>]*>', '', 'g')"
-    for name, char in (*ENTITIES, ("&amp;", "&")):
-        x = "replace({}, '{}', '{}')".format(x, name, char.replace("'", "''"))
+    """The text of pages without nested or quoted markup: hidden constructs go, block tags are line ends, the test pages' references are decoded."""
+    hidden = "|".join([r"<!--.*?(?:-->|\z)", *(rf"<{n}\b[^>]*>.*?(?:</{n}\s*>|\z)" for n in sorted(RAW | HIDDEN)), r"</?(?:a|b|i|em|span|strong|u|meta|link|img)\b[^>]*(?:>|\z)", r"<![a-zA-Z][^>]*(?:>|\z)"])
+    x = rf"regexp_replace(payload, '{hidden}', '', 'gis')"
+    x = rf"regexp_replace({x}, '</?(?:{'|'.join(sorted(BLOCKS, key=len, reverse=True))})(?:\s[^>]*)?(?:>|\z)', chr(10), 'gi')"
+    x = rf"regexp_replace({x}, '</?[a-zA-Z][^>]*\z|</?\z', '', 'g')"
+    for name, char in (("copy;", "©"), ("middot;", "·"), ("nbsp;", " "), ("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("apos;", "\'\'"), ("amp;?", "&")):
+        x = f"regexp_replace({x}, '&{name}', '{char}', 'g')"
     x = rf"regexp_replace({x}, '[ \t\r\f]+', ' ', 'g')"
-    return rf"regexp_replace(regexp_replace({x}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+    return rf"trim(regexp_replace({x}, ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
 
 
 def _urn_sql(x: str) -> str:
