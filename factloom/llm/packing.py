@@ -1,12 +1,13 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
 Pass 1 tokenises the texts where they are read and keeps only a few numbers for
-each piece; ids never move. Those small rows are checkpointed, counted and
-packed in groups of at most about `GROUP` pieces, one task a group, by
-bounded-space online best-fit: a fixed number of open bins, held in a bitset
-keyed by free space, where the fullest bin closes when a new one would exceed
-the number. Inside a group pieces arrive longest first. A group loses at most
-the room in its last bins, under a bin for thousands.
+each piece; ids never move. Those small rows are checkpointed, counted and dealt
+to groups of at least about `GROUP` pieces, one task a group. A group is packed
+as it streams by, in order of arrival, by bounded-space online best-fit: at most
+`OPEN_BINS` bins are open, held in a bitset keyed by free space, and the fullest
+closes when one more is needed. So a task holds the open bins and one batch,
+whatever the size of its group, and a group loses little more than the room in
+its last open bins.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from factloom.llm.common import id_type, saved, slices, table
 from factloom.llm.token_counts import Encoder
 
 GROUP = 20_000
-OPEN_BINS = 8_192
+OPEN_BINS = 256
 SEQUENCE = 4_096
 END_ID = 1
 
@@ -62,41 +63,52 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_I
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def best_fit(lengths, size: int, open_bins: int):
-    """Bin and place of each length, in order of arrival; bins are numbered from 0.
+class BestFit:
+    """The open bins of a stream of lengths.
 
     Bit f of `free` is set while some open bin has f tokens free; `at[f]` lists
-    those bins. The least set bit at or above a length is the best fit, found by
-    shifting; the least set bit of all is the fullest bin, which closes first.
+    those bins with the last opened at the end. The least set bit at or above a
+    length is the best fit, found by shifting; the least set bit of all is the
+    fullest bin, which closes first. A full bin closes by itself.
     """
-    free, at, n_open, n_bins, bins, places = 0, {}, 0, 0, [], []
-    for n in lengths:
-        fits = free >> n
-        if fits:
-            room = n + (fits & -fits).bit_length() - 1
-            stack = at[room]
-            bin_ = stack.pop()
-            if not stack:
-                free ^= 1 << room
-        else:
-            if n_open == open_bins:
-                fullest = (free & -free).bit_length() - 1
-                at[fullest].pop()
-                if not at[fullest]:
-                    free ^= 1 << fullest
-                n_open -= 1
-            bin_, room, n_bins, n_open = n_bins, size, n_bins + 1, n_open + 1
-        bins.append(bin_)
-        places.append(size - room)
-        left = room - n
-        if left:
-            stack = at.setdefault(left, [])
-            if not stack:
-                free |= 1 << left
-            stack.append(bin_)
-        else:
-            n_open -= 1
-    return bins, places
+
+    def __init__(self, size: int, open_bins: int):
+        self.size, self.open_bins = size, open_bins
+        self.free, self.at, self.n_open, self.n_bins, self.closings = 0, {}, 0, 0, 0
+
+    def take(self, room: int) -> int:
+        """Remove and return a bin with exactly `room` free."""
+        stack = self.at[room]
+        bin_ = stack.pop()
+        if not stack:
+            self.free ^= 1 << room
+        return bin_
+
+    def place(self, lengths) -> tuple[list[int], list[int]]:
+        """Bin and place of each length, in order of arrival; bins are numbered from 0."""
+        bins, places = [], []
+        for n in lengths:
+            fits = self.free >> n
+            if fits:
+                room = n + (fits & -fits).bit_length() - 1
+                bin_ = self.take(room)
+            else:
+                if self.n_open == self.open_bins:
+                    self.take((self.free & -self.free).bit_length() - 1)
+                    self.n_open -= 1
+                    self.closings += 1
+                bin_, room = self.n_bins, self.size
+                self.n_bins += 1
+                self.n_open += 1
+            bins.append(bin_)
+            places.append(self.size - room)
+            left = room - n
+            if left:
+                self.at.setdefault(left, []).append(bin_)
+                self.free |= 1 << left
+            else:
+                self.n_open -= 1
+        return bins, places
 
 
 def pack(rows: DataFrame, size: int = SEQUENCE, group: int = GROUP, open_bins: int = OPEN_BINS) -> DataFrame:
@@ -113,16 +125,10 @@ def pack(rows: DataFrame, size: int = SEQUENCE, group: int = GROUP, open_bins: i
     place = rows.schema.fieldNames().index("length")
 
     def run(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        whole = pa.Table.from_batches(batches).combine_chunks()
-        lengths = whole.column(place).to_numpy()
-        order = np.argsort(-lengths, kind="stable")
-        bins, places = best_fit(lengths[order].tolist(), size, open_bins)
-        first = TaskContext.get().partitionId() << 40
-        out = whole.take(pa.array(order)).append_column("sequence_id", pa.array(np.array(bins, np.int64) + first)).append_column("offset", pa.array(places, pa.int64()))
-        yield from out.to_batches(max_chunksize=10_000)
+        bins, first = BestFit(size, open_bins), TaskContext.get().partitionId() << 40
+        for part in batches:
+            at, offset = bins.place(part.column(place).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(at, np.int64) + first), pa.array(offset, pa.int64())], [*part.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
     return rows.coalesce(tasks).mapInArrow(run, schema)
