@@ -1,26 +1,30 @@
 """Language-model scoring by deleted interpolation.
 
-P(w | h) mixes the maximum-likelihood estimates of the bigram and of the word
-with the uniform distribution. The weights depend on the bucket of the
-context's frequency and are learned by expectation-maximisation on held-out
-counts: one fold of the training documents is deleted from the counts, and the
-rest's estimates are mixed so as to make that fold likely. Scores then use the
-counts of all training documents.
+P(w | h) mixes the maximum-likelihood estimates of all orders, by default of the
+trigram, the bigram and the word, with the uniform distribution. The weights
+depend on the bucket of the frequency of the longest context that was seen, and
+are learned by expectation-maximisation on held-out counts: one fold of the
+training documents is deleted from the counts, and the rest's estimates are
+mixed so as to make that fold likely. Scores then use the counts of all training
+documents.
 
 Counts are of the whole corpus and are held by no single task. Texts are read
 once, where they lie, into blocks of at most `BLOCK` documents and about `TOKENS`
 tokens: compressed arrays of word numbers, checkpointed in place of the texts. A
-block asks for its distinct words and bigrams (64-bit hashes, with its own
-counts), sorted and cut by ranges of the hash; each range adds up what all blocks
+block asks for its distinct n-grams, an order after the other (64-bit hashes,
+with its own counts), sorted and cut by ranges of the hash; each range adds up what all blocks
 sent and answers every block with the totals of just its keys, in the order
 asked. A key comes at most once from a block, so frequent words and copies load
-no range more than others. Only the held-out fold's histogram of quantised
+no range more than others; there are as many ranges as keep about `KEYS` keys in
+each, and a request holds a key at least. What was shuffled for the answers is
+deleted when they are written. Only the held-out fold's histogram of quantised
 estimates, bounded by its grid, reaches the driver.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -28,15 +32,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fold, id_type, saved, slices, table
+from factloom.llm.common import fold, id_type, saved, shuffles_dropped, slices, table
 
 BLOCK, TOKENS = 3_000, 2_000_000
+#: Keys of all blocks that a range adds up at a time, about 60 bytes each.
+KEYS = 1 << 22
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
-#: Context-frequency buckets: by powers of two, the last open.
+ORDER = 3
+#: Frequency buckets of the contexts of one order: by powers of two, the last open.
 CONTEXTS = 14
 #: Steps of quantised logarithms to the base 2.
 STEPS = 4
-WORD, PAIR = 0, 1
+#: Levels of such a logarithm, with one for zero; the last is open.
+LEVELS = 256
 END, START = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" start")
 
 
@@ -52,33 +60,49 @@ class Block:
     """Tokens of a block's documents as numbers of its distinct words; each document ends with the end token."""
 
     def __init__(self, ids: list, sizes: np.ndarray, words: np.ndarray, word: np.ndarray):
-        self.ids, self.sizes, self.words, self.word = ids, sizes, words, word
-        self.owner = np.repeat(np.arange(len(ids)), sizes)
+        self.ids, self.sizes = ids, sizes
         self.first = np.cumsum(sizes) - sizes
         self.folds = np.array([-1 if (f := fold(i, FOLDS)) is None else f for i in ids], np.int64)
-        # the words' keys also hold the start, counted once a document; contexts are found there
-        self.start = int(np.searchsorted(words, np.uint64(START)))
-        self.context = np.empty_like(word)
-        self.context[1:] = word[:-1]
-        self.context[self.first] = self.start
-        pair = (words[self.context] * np.uint64(0x9E3779B97F4A7C15)) ^ (words[word] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
-        pair ^= pair >> np.uint64(32)
-        pair *= np.uint64(0xD6E8FEB86659FD93)
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        # the words' keys also hold the start, counted once a document: the context of first tokens in every order
+        self.words, self.word, self.start = words, word, int(np.searchsorted(words, np.uint64(START)))
+
+    def grams(self, order: int):
+        """(keys, place of each token's n-gram in them) of the orders from 1 to `order`, shortest first."""
+        keys, of = self.words, self.word
+        yield keys, of
+        for n in range(2, order + 1):
+            before = np.empty(len(of), np.uint64)
+            before[1:] = keys[of[:-1]]
+            before[self.first] = np.uint64(START)
+            mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (self.words[self.word] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n))
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
+            keys, of = np.unique(mixed ^ (mixed >> np.uint64(29)), return_inverse=True)
+            yield keys, of
 
     @classmethod
     def of_row(cls, ids: list, sizes: bytes, words: bytes, word: bytes) -> Block:
-        return cls(ids, np.frombuffer(zlib.decompress(sizes), np.uint32).astype(np.int64), unpacked(zlib.decompress(words)), np.frombuffer(zlib.decompress(word), np.uint32).astype(np.int64))
+        return cls(ids, released(sizes), unpacked(zlib.decompress(words)), released(word))
 
-    def counts(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys with their counts in the kept training folds and in the deleted one."""
-        keys, of = (self.words, self.word) if kind == WORD else (self.pairs, self.pair)
-        f = self.folds[self.owner]
-        kept, deleted = (np.bincount(of[m], minlength=len(keys)) for m in ((f >= 0) & (f != HELD_OUT) & (f != DELETED), f == DELETED))
-        if kind == WORD:
-            kept[self.start] = ((self.folds >= 0) & (self.folds != HELD_OUT) & (self.folds != DELETED)).sum()
-            deleted[self.start] = (self.folds == DELETED).sum()
-        return keys, kept, deleted
+    def counts(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of an order with their counts in the block's training documents."""
+        for keys, of in self.grams(order):
+            pass
+        learned = (self.folds >= 0) & (self.folds != HELD_OUT)
+        n = np.bincount(of[np.repeat(learned, self.sizes)], minlength=len(keys))
+        if order == 1:
+            n[self.start] = learned.sum()
+        return keys, n
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Small unsigned numbers as compressed byte planes."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def released(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -111,11 +135,11 @@ class Gathering:
 
     def row(self) -> tuple:
         words, word = np.unique(np.concatenate([*self.tokens, [np.uint64(START)]]), return_inverse=True)
-        return (self.ids, *(zlib.compress(x, 1) for x in (np.array(self.sizes, np.uint32).tobytes(), packed(words), word[:-1].astype(np.uint32).tobytes())))
+        return self.ids, self.total, squeezed(np.array(self.sizes)), zlib.compress(packed(words), 1), squeezed(word[:-1])
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, ids, sizes, words, word) of all rows; the deleted fold has blocks of its own, below 0."""
+    """(block, ids, tokens, sizes, words, word) of all rows; the deleted fold has blocks of its own, below 0."""
     import pyarrow as pa
 
     doc_type = id_type(docs)
@@ -128,9 +152,9 @@ def blocks(docs: DataFrame) -> DataFrame:
             nonlocal n
             block = base + n
             n += 1
-            ids, *data = open_[deleted].row()
+            ids, tokens, *data = open_[deleted].row()
             open_[deleted] = Gathering()
-            return pa.RecordBatch.from_arrays([pa.array([-1 - block if deleted else block], pa.int64()), pa.array([ids], pa.list_(id_kind)), *(pa.array([d], pa.binary()) for d in data)], ["block", "ids", "sizes", "words", "word"])
+            return pa.RecordBatch.from_arrays([pa.array([-1 - block if deleted else block], pa.int64()), pa.array([ids], pa.list_(id_kind)), pa.array([tokens], pa.int64()), *(pa.array([d], pa.binary()) for d in data)], ["block", "ids", "tokens", "sizes", "words", "word"])
 
         id_kind = pa.int64()
         for part in slices(batches):
@@ -144,110 +168,141 @@ def blocks(docs: DataFrame) -> DataFrame:
             if g.ids:
                 yield row(deleted)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"block long, ids array<{doc_type}>, sizes binary, words binary, word binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"block long, ids array<{doc_type}>, tokens long, sizes binary, words binary, word binary")
 
 
 def block_of(rows, i: int = 0) -> Block:
     return Block.of_row(*(rows.column(c)[i].as_py() for c in ("ids", "sizes", "words", "word")))
 
 
-def requests(dealt: DataFrame, ranges: int) -> DataFrame:
-    """(range, kind, block, keys, kept, deleted): what each block asks of each range of hashes."""
+def requests(dealt: DataFrame, order: int, ranges: int) -> DataFrame:
+    """(range, block, keys, counts): what each block asks of each range of hashes, for n-grams of one order."""
     import pyarrow as pa
 
     shift = np.uint64(64 - (ranges.bit_length() - 1))
-    names = ["range", "kind", "block", "keys", "kept", "deleted"]
-    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    names = ["range", "block", "keys", "counts"]
+    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
 
     def ask(batches):
         for rows in slices(batches, 1):
-            block, name = block_of(rows), rows.column("block")[0].as_py()
-            for kind in (WORD, PAIR):
-                keys, kept, deleted = block.counts(kind)
-                cuts = np.searchsorted(keys >> shift, np.arange(ranges + 1, dtype=np.uint64)) if ranges > 1 else [0, len(keys)]
-                out = [(r, kind, name, packed(keys[a:b]), *(zlib.compress(x[a:b].astype(np.uint32).tobytes(), 1) for x in (kept, deleted))) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+            keys, n = block_of(rows).counts(order)
+            name = rows.column("block")[0].as_py()
+            cuts = np.searchsorted(keys >> shift, np.arange(ranges + 1, dtype=np.uint64)) if ranges > 1 else [0, len(keys)]
+            out = [(r, name, packed(keys[a:b]), squeezed(n[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return dealt.mapInArrow(ask, "range int, kind int, block long, keys binary, kept binary, deleted binary")
+    return dealt.mapInArrow(ask, "range int, block long, keys binary, counts binary")
 
 
-def answers(asked: DataFrame) -> DataFrame:
-    """(block, kind, range, kept, deleted, sums): totals for each request, in its order of keys.
+def answers(asked: DataFrame, order: int) -> DataFrame:
+    """(block, kind, range, all, kept, sums): totals for each request, in its order of keys.
 
-    sums: on one answer of each range of words the tokens and distinct words
-    it holds, of the kept folds and of all training folds; else zeros.
+    all: of all training documents; kept: without the deleted fold, for that
+    fold's blocks alone; sums: on one answer of each range of words the tokens
+    and distinct words it holds, of the kept folds and of all, else zeros;
+    kind: the order.
     """
     import pyarrow as pa
 
     def add(rows):
         parts = [unpacked(k) for k in rows.column("keys").to_pylist()]
+        blocks = rows.column("block").to_numpy()
         keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-        kept, deleted = (np.bincount(at, np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in rows.column(c).to_pylist()]), len(keys)).astype(np.uint32) for c in ("kept", "deleted"))
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        counts = np.concatenate([released(x) for x in rows.column("counts").to_pylist()])
+        deleted = np.repeat(blocks < 0, [len(p) for p in parts])
+        all_ = np.bincount(at, counts, len(keys)).astype(np.uint32)
+        kept = all_ - np.bincount(at[deleted], counts[deleted], len(keys)).astype(np.uint32)
         sums = [[0, 0, 0, 0] for _ in parts]
-        if rows.column("kind")[0].as_py() == WORD:
+        if order == 1:
             own = keys != np.uint64(START)
-            both = kept.astype(np.int64) + deleted
-            sums[0] = [int(kept[own].sum(dtype=np.int64)), int((kept[own] > 0).sum()), int(both[own].sum()), int((both[own] > 0).sum())]
-        cuts = np.cumsum([len(p) for p in parts])[:-1]
-        told = [np.split(x[at], cuts) for x in (kept, deleted)]
+            sums[0] = [int(f(x[own])) for x in (kept, all_) for f in (lambda x: x.sum(dtype=np.int64), np.count_nonzero)]
+        every = [squeezed(x) for x in np.split(all_[at], cuts)]
+        some = [squeezed(kept[x]) if b < 0 else None for b, x in zip(blocks.tolist(), np.split(at, cuts), strict=True)]
         return pa.Table.from_arrays(
-            [rows.column("block"), rows.column("kind"), rows.column("range"), *(pa.array([zlib.compress(x.tobytes(), 1) for x in t], pa.binary()) for t in told), pa.array(sums, pa.list_(pa.int64()))],
-            ["block", "kind", "range", "kept", "deleted", "sums"],
+            [rows.column("block"), pa.array([order] * len(parts), pa.int32()), rows.column("range"), pa.array(every, pa.binary()), pa.array(some, pa.binary()), pa.array(sums, pa.list_(pa.int64()))],
+            ["block", "kind", "range", "all", "kept", "sums"],
         )
 
-    return asked.groupBy("range", "kind").applyInArrow(add, "block long, kind int, range int, kept binary, deleted binary, sums array<long>")
+    return asked.groupBy("range").applyInArrow(add, "block long, kind int, range int, all binary, kept binary, sums array<long>")
 
 
-def told(rows, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's totals of a kind (kept, deleted), in the order of its keys."""
-    mine = sorted((r, k, d) for t, r, k, d in zip(*(rows.column(c).to_pylist() for c in ("kind", "range", "kept", "deleted")), strict=True) if t == kind)
-    return tuple(np.concatenate([np.frombuffer(zlib.decompress(m[i]), np.uint32) for m in mine]).astype(np.int64) for i in (1, 2))
+def told(rows, order: int, of: str) -> np.ndarray:
+    """A block's totals of an order, `all` or `kept`, in the order of its keys."""
+    mine = sorted((r, x) for k, r, x in zip(*(rows.column(c).to_pylist() for c in ("kind", "range", of)), strict=True) if k == order)
+    return np.concatenate([released(x) for _, x in mine])
 
 
 def bucket(context_count: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(context_count + 1).astype(np.int64), CONTEXTS - 1)
 
 
-def estimates(block: Block, words: np.ndarray, pairs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context bucket and the bigram's and the word's maximum-likelihood estimate of each token."""
-    context = words[block.context]
-    return bucket(context), pairs[block.pair] / np.maximum(context, 1), words[block.word] / max(n, 1)
-
+def estimates(block: Block, rows, of: str, n: int, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Context bucket and maximum-likelihood estimates of each token, longest first, and the counts of its word.
 
-def held_out_histogram(dealt: DataFrame, answered: DataFrame, n: int) -> DataFrame:
-    """(context, pair, word, n): tokens of the deleted fold's blocks by context bucket and quantised estimates of the kept folds."""
+    The bucket is that of the longest context that was seen: CONTEXTS buckets for
+    each order, the longest last.
+    """
+    context, found, own, before = np.zeros(len(block.word), np.int64), [], None, None
+    for k, (_, at) in enumerate(block.grams(order), 1):
+        totals = told(rows, k, of)
+        count = totals[at]
+        if k == 1:
+            own, start = count, totals[block.start]
+            found.append(own / max(n, 1))
+        else:
+            seen = np.empty_like(count)
+            seen[1:] = before[:-1]
+            seen[block.first] = start
+            found.append(count / np.maximum(seen, 1))
+            context = np.where(seen > 0, (k - 2) * CONTEXTS + bucket(seen), context)
+        before = count
+    return context, found[::-1], own
+
+
+def held_out_histogram(dealt: DataFrame, answered: DataFrame, n: int, order: int) -> DataFrame:
+    """(context, levels, n): tokens of the deleted fold's blocks by context bucket and quantised estimates of the kept folds."""
     import pyarrow as pa
 
     def observe(docs, rows):
-        none = pa.schema([("context", pa.int32()), ("pair", pa.int32()), ("word", pa.int32()), ("n", pa.int64())]).empty_table()
+        none = pa.schema([("context", pa.int32()), ("levels", pa.int64()), ("n", pa.int64())]).empty_table()
         if not docs.num_rows or not rows.num_rows:
             return none
-        block = block_of(docs)
-        context, pair, word = estimates(block, told(rows, WORD)[0], told(rows, PAIR)[0], n)
-        level = [np.where(p > 0, np.round(-STEPS * np.log2(np.maximum(p, 1e-300))), -1).astype(np.int64) for p in (pair, word)]
-        code, count = np.unique((context * 2048 + level[0] + 1) * 2048 + level[1] + 1, return_counts=True)
-        return pa.Table.from_arrays([pa.array((code >> 22).astype(np.int32)), pa.array(((code >> 11) % 2048 - 1).astype(np.int32)), pa.array((code % 2048 - 1).astype(np.int32)), pa.array(count)], none.schema.names)
+        context, found, _ = estimates(block_of(docs), rows, "kept", n, order)
+        code = np.zeros(len(context), np.int64)
+        for p in found:
+            code = code * LEVELS + np.where(p > 0, np.minimum(np.round(-STEPS * np.log2(np.maximum(p, 1e-300))) + 1, LEVELS - 1), 0).astype(np.int64)
+        code, count = np.unique(context * LEVELS**order + code, return_counts=True)
+        return pa.Table.from_arrays([pa.array((code // LEVELS**order).astype(np.int32)), pa.array(code % LEVELS**order), pa.array(count)], none.schema.names)
 
-    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(observe, "context int, pair int, word int, n long").groupBy("context", "pair", "word").agg(F.sum("n").alias("n"))
+    found = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(observe, "context int, levels long, n long")
+    return found.groupBy("context", "levels").agg(F.sum("n").alias("n"))
 
 
-def learn_weights(context: np.ndarray, pair: np.ndarray, word: np.ndarray, count: np.ndarray, uniform: float, rounds: int = 60) -> np.ndarray:
-    """(CONTEXTS, 3) mixture weights of bigram, word and uniform by EM on the histogram.
+def learn_weights(context: np.ndarray, levels: np.ndarray, count: np.ndarray, uniform: float, order: int = ORDER, rounds: int = 60) -> np.ndarray:
+    """(buckets, order + 1) mixture weights, longest n-gram first and uniform last, by EM on the histogram.
 
     Buckets without held-out tokens keep the first guess, which trusts the word most.
     """
-    p = np.stack([np.where(q >= 0, 2.0 ** (-q / STEPS), 0.0) for q in (pair, word)] + [np.full(len(pair), uniform)], axis=1)
-    weights = np.tile([0.1, 0.8, 0.1], (CONTEXTS, 1))
+    buckets = max(1, order - 1) * CONTEXTS
+    p, rest = [], levels.astype(np.int64)
+    for _ in range(order):
+        q = rest % LEVELS
+        p.append(np.where(q > 0, 2.0 ** (-(q - 1) / STEPS), 0.0))
+        rest //= LEVELS
+    p = np.stack([*p[::-1], np.full(len(context), uniform)], axis=1)
+    weights = np.tile([0.1 / order] * (order - 1) + [0.8, 0.2 - 0.1 * (order - 1) / order], (buckets, 1))
     for _ in range(rounds):
         share = weights[context] * p
         share *= (count / share.sum(axis=1))[:, None]
-        total = np.stack([np.bincount(context, share[:, k], CONTEXTS) for k in range(3)], axis=1)
+        total = np.stack([np.bincount(context, share[:, k], buckets) for k in range(order + 1)], axis=1)
         n = total.sum(axis=1)
-        weights[n > 0] = (total[n > 0] + [1e-6, 1e-6, 1e-3]) / (n[n > 0] + 1e-3 + 2e-6)[:, None]
+        prior = np.array([1e-6] * order + [1e-3])
+        weights[n > 0] = (total[n > 0] + prior) / (n[n > 0] + prior.sum())[:, None]
     return weights
 
 
-def scores(dealt: DataFrame, answered: DataFrame, n: int, v: int, weights: np.ndarray, doc_type: str) -> DataFrame:
+def scores(dealt: DataFrame, answered: DataFrame, n: int, v: int, weights: np.ndarray, order: int, doc_type: str) -> DataFrame:
     import pyarrow as pa
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -258,11 +313,11 @@ def scores(dealt: DataFrame, answered: DataFrame, n: int, v: int, weights: np.nd
             return pa.Table.from_arrays([pa.array([], t) for t in (kind, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
         block = block_of(docs)
         ids = pa.array(block.ids, kind)
-        words, pairs = (sum(told(rows, kind)) for kind in (WORD, PAIR))
-        context, pair, word = estimates(block, words, pairs, n)
-        w = weights[context]
-        model = np.log10(w[:, 0] * pair + w[:, 1] * word + w[:, 2] / (v + 1))
-        own = words[block.word]
+        context, found, own = estimates(block, rows, "all", n, order)
+        model = weights[context, -1] / (v + 1)
+        for k, p in enumerate(found):
+            model += weights[context, k] * p
+        model = np.log10(model)
         base = np.log10((own + 0.5) / (n + 0.5 * (v + 1)))
         add = lambda x: np.add.reduceat(x, block.first)
         held = [f in (HELD_OUT, -1) for f in block.folds.tolist()]
@@ -272,23 +327,27 @@ def scores(dealt: DataFrame, answered: DataFrame, n: int, v: int, weights: np.nd
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, schema)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """Scores of every row of (doc_id, text).
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Scores of every row of (doc_id, text) by n-grams of up to `order` words (1 to 6).
 
     A null or empty text is the end token alone. A null id counts as held out:
     its text is scored and not learned from. Repeated rows are learned from and
     scored each. Other columns are ignored. Without training documents every
     estimate but the uniform one is 0. An empty table gives no rows.
     """
+    if not 1 <= order <= 6:
+        raise ValueError("orders of 1 to 6 words are supported")
+    spark = docs.sparkSession
     dealt = saved(blocks(docs))
-    n_blocks = max(1, dealt.count())
-    answered = saved(answers(requests(dealt, 1 << max(0, (n_blocks - 1).bit_length()))))
-    sums = answered.select(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(4))).first()
-    kept_n, kept_v, n, v = (s or 0 for s in sums)
-    answered = answered.drop("sums")
-    seen = held_out_histogram(dealt.where("block < 0"), answered.where("block < 0"), kept_n).toArrow()
-    weights = learn_weights(*(seen.column(c).to_numpy() for c in ("context", "pair", "word", "n")), 1 / (kept_v + 1))
-    return scores(dealt, answered, n, v, weights, id_type(docs))
+    tokens = dealt.agg(F.sum("tokens")).first()[0] or 0
+    ranges = 1 << (tokens // KEYS).bit_length()
+    with shuffles_dropped(spark):
+        told_ = [saved(answers(requests(dealt, k, ranges), k)) for k in range(1, order + 1)]
+        kept_n, kept_v, n, v = (s or 0 for s in told_[0].select(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(4))).first())
+        answered = reduce(DataFrame.unionByName, (t.drop("sums") for t in told_))
+        seen = held_out_histogram(dealt.where("block < 0"), answered.where("block < 0").drop("all"), kept_n, order).toArrow()
+    weights = learn_weights(*(seen.column(c).to_numpy() for c in ("context", "levels", "n")), 1 / (kept_v + 1), order)
+    return scores(dealt, answered.drop("kept"), n, v, weights, order, id_type(docs))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
