@@ -10,9 +10,10 @@ largest marginal and the expected number of toxic tokens gives the document's
 score. Only texts are read for a score.
 
 Training takes a sample bounded by `SAMPLE_ROWS` labels, those with the least
-hash of doc_id, and the texts of their documents of at most `SAMPLE_CHARS`
-characters; scoring is one pass over all rows in which documents advance
-together, a token a step.
+hash of doc_id, and `SAMPLE_SEGMENTS` segments of `SEGMENT` tokens of their texts,
+again those with the least hashes: a longer text gives more segments, none is cut
+off. Scoring is one pass over all rows in which documents advance together, a
+token a step.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import fold_column, id_type, slices, table
 
 SAMPLE_ROWS = 4_000
-SAMPLE_CHARS = 20_000
+SAMPLE_SEGMENTS = 40_000
 HASHED = 1 << 18
 THRESHOLD = 0.3
 EDGES = ".,;:!?()[]{}\"'«»…-|*#$%&<>"
@@ -211,12 +212,35 @@ def train_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2) -> Model:
-    """A model from labelled rows whose fold is not `held`; null ids, texts and labels are not learned from."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & (fold_column(F.col("doc_id"), mod) != held)).select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("label"))
-    chosen = usable.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(SAMPLE_ROWS)
-    sized = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    sample = sized.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
-    return train(sample.column("text").to_pylist(), sample.column("label").to_pylist())
+    """A model from labelled rows whose fold is not `held`; null ids, texts and labels are not learned from.
+
+    A doc_id with several labels takes the greatest. Rows that repeat an id and
+    text are learned from once, different texts of an id each.
+    """
+    import pyarrow as pa
+
+    usable = labels.where(F.col("toxic").isin(0, 1) & (fold_column(F.col("doc_id"), mod) != held)).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("label"))
+    chosen = usable.orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE_ROWS)
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text")
+
+    def cut(batches):
+        for part in slices(batches):
+            rows = []
+            for k, text in enumerate(part.column(2).to_pylist()):
+                words, name = text.split(), zlib.crc32(text.encode())
+                rows += [(k, name, at, " ".join(words[at : at + SEGMENT])) for at in range(0, max(1, len(words)), SEGMENT)]
+            row, *own = zip(*rows, strict=True) if rows else ((), (), (), ())
+            row = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), *(pa.array(x, t) for x, t in zip(own, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "label", "name", "place", "segment"])
+
+    by = ["doc_id", "name", "place"]
+    segments = texts.mapInArrow(cut, f"doc_id {id_type(docs)}, label int, name long, place long, segment string")
+    sample = segments.dropDuplicates([*by, "segment"]).orderBy(F.xxhash64(*by), *by, "segment").limit(SAMPLE_SEGMENTS).toPandas().sort_values([*by, "segment"])
+    joined, wanted = [], []
+    for _, own in sample.groupby(["doc_id", "name"], sort=True):
+        joined.append(" ".join(own["segment"]))
+        wanted.append(int(own["label"].iloc[0]))
+    return train(joined, wanted)
 
 
 def score(docs: DataFrame, model: Model, mod: int = 4, held: int = 2) -> DataFrame:
@@ -268,7 +292,11 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows that are not predicted toxic, with exactly their columns, in one pass."""
+    """The rows that are not predicted toxic, with exactly their columns, in one pass.
+
+    Null and empty texts score as texts without tokens do. Repeated rows stay or
+    go together; an empty table gives no rows.
+    """
     import pyarrow as pa
 
     at = docs.columns.index("text")
