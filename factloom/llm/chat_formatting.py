@@ -10,7 +10,7 @@ CHUNK turn numbers, and over the chunks' totals.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import table
@@ -19,6 +19,22 @@ CHUNK = 256
 END = "<|end|>\n"
 
 
+def escaped(text: Column) -> Column:
+    """Text without a marker; every `<|` gets one more bar."""
+    return F.replace(text, F.lit("<|"), F.lit("<||"))
+
+
+def plain(text: Column) -> Column:
+    """The text that `escaped` was given."""
+    return F.replace(text, F.lit("<||"), F.lit("<|"))
+
+
+def shown(speaker: Column) -> Column:
+    """The speaker's name as markers carry it."""
+    kept = F.regexp_replace(speaker, r"[^\p{L}\p{N}_.-]", "_")
+    return F.when(kept == speaker, kept).otherwise(F.concat(kept, F.lit("~"), F.substring(F.md5(speaker.cast("binary")), 1, 8)))
+
+
 def rotate(turns: DataFrame) -> DataFrame:
     """Segments of every (conversation, participant), from (conv_id, turn, role, text).
 
@@ -26,7 +42,7 @@ def rotate(turns: DataFrame) -> DataFrame:
     mask_start, mask_end (characters, end exclusive; null outside targets).
     System turns keep their place in every rendering and are no participants; a
     null role speaks as `unknown`; a null text is empty. Turns of one number
-    follow each other by role, then text; null turns come first; repeated rows
+    follow each other by role, then escaped text; null turns come first; repeated rows
     stay. A null conv_id is one conversation. Conversations of system turns
     alone, and empty tables, give no rows. Other columns are ignored.
     """
@@ -34,14 +50,14 @@ def rotate(turns: DataFrame) -> DataFrame:
         "conv_id",
         "turn",
         F.coalesce("role", F.lit("unknown")).alias("speaker"),
-        F.coalesce("text", F.lit("")).alias("content"),
+        escaped(F.coalesce("text", F.lit(""))).alias("content"),
         F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62))).alias("chunk"),
     )
     parties = t.where("speaker <> 'system'").select(F.col("conv_id").alias("c1"), F.col("speaker").alias("perspective")).distinct()
     chunks = t.select(F.col("conv_id").alias("c2"), F.col("chunk").alias("k2")).distinct()
     views = chunks.join(parties, F.col("c2").eqNullSafe(F.col("c1"))).select("c2", "k2", "perspective")
     x = t.join(views, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("chunk") == F.col("k2"))).drop("c2", "k2")
-    name = F.regexp_replace("speaker", r"[^\p{L}\p{N}_.-]", "_")
+    name = shown(F.col("speaker"))
     head = F.when(F.col("speaker") == F.col("perspective"), F.lit("<|assistant|>\n")).when(F.col("speaker") == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
     x = x.withColumn("head", head).withColumn("segment", F.concat("head", "content", F.lit(END))).withColumn("size", F.length("segment").cast("long"))
     inside = Window.partitionBy("conv_id", "perspective", "chunk").orderBy("turn", "speaker", "content").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -71,14 +87,15 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '<||') AS content FROM conversations
 ), p AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
 ), x AS (
   SELECT t.*, p.perspective,
     CASE WHEN t.speaker = p.perspective THEN '<|assistant|>' || chr(10)
          WHEN t.speaker = 'system' THEN '<|system|>' || chr(10)
-         ELSE '<|user name=' || regexp_replace(t.speaker, '[^\\p{L}\\p{N}_.-]', '_', 'g') || '|>' || chr(10) END AS head
+         ELSE '<|user name=' || regexp_replace(t.speaker, '[^\\p{L}\\p{N}_.-]', '_', 'g')
+           || CASE WHEN regexp_matches(t.speaker, '[^\\p{L}\\p{N}_.-]') THEN '~' || substr(md5(t.speaker), 1, 8) ELSE '' END || '|>' || chr(10) END AS head
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), s AS (
   SELECT *, head || content || '<|end|>' || chr(10) AS segment FROM x
