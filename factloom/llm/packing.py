@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import struct
 import zlib
-from functools import cache as memo
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import id_type, saved, slices, table
-from factloom.llm.token_counts import Encoder
+from factloom.llm.token_counts import encoder, proved
 
 GROUP = 20_000
 OPEN_BINS = 256
@@ -29,9 +28,8 @@ SEQUENCE = 4_096
 END_ID = 1
 
 
-@memo
-def encoder(path: str) -> Encoder:
-    return Encoder(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -41,8 +39,10 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_I
     """
     import pyarrow as pa
 
+    whole = proved(docs.sparkSession, path)
+
     def run(batches):
-        enc, end = encoder(path), struct.pack("<I", end_id)
+        enc, end = encoder(path, "ids", packed_ids, whole), struct.pack("<I", end_id)
         for part in slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for k, values in enumerate(enc.texts(part.column(1).to_pylist())):

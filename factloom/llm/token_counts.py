@@ -1,7 +1,8 @@
 """Token counts with the whole-token shortcut.
 
 The vocabulary strings that encode alone as exactly one token are proved once
-(`whole_tokens`, by encoding each of them with the library). A text is cut at
+(`whole_tokens`, by encoding each of them with the library) on the driver, and the
+proved set, bounded by the vocabulary, is broadcast. A text is cut at
 white space, which no pre-token crosses, and each distinct piece into its
 pre-tokens; those in the proved set count one each, and only the rest go through
 the merges of the library's model. A bounded memo keeps what pieces gave.
@@ -68,9 +69,9 @@ def plain(text: str) -> bool:
 class Encoder:
     """Values of texts, piece by piece: `value` turns a list of ids into what is kept."""
 
-    def __init__(self, path: str, value, limit: int = MEMO):
+    def __init__(self, path: str, value, whole: dict[str, int] | None = None, limit: int = MEMO):
         self.tok, self.value, self.limit = library(path), value, limit
-        self.model, self.whole, self.known = self.tok.model, whole_tokens(path), {}
+        self.model, self.whole, self.known = self.tok.model, whole_tokens(path) if whole is None else whole, {}
         self.letters = {b: c for c, b in byte_letters().items()}
 
     def ids(self, piece: str) -> list[int]:
@@ -101,9 +102,20 @@ class Encoder:
                 del known[t]
 
 
-@memo
-def counter(path: str) -> Encoder:
-    return Encoder(path, len)
+#: Encoders of this process, by path and use.
+ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, use: str, value, proved) -> Encoder:
+    """This process's encoder for a use, made once from the broadcast set of proved tokens."""
+    if (path, use) not in ENCODERS:
+        ENCODERS[path, use] = Encoder(path, value, proved.value)
+    return ENCODERS[path, use]
+
+
+def proved(spark: SparkSession, path: str):
+    """The proved set of a vocabulary as a broadcast."""
+    return spark.sparkContext.broadcast(whole_tokens(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
@@ -114,11 +126,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """
     import pyarrow as pa
 
+    whole = proved(docs.sparkSession, path)
+
     def run(batches):
-        encoder = counter(path)
+        enc = encoder(path, "count", len, whole)
         for part in slices(batches):
             texts = part.column(1).to_pylist()
-            n = [sum(v) for v in encoder.texts(texts)]
+            n = [sum(v) for v in enc.texts(texts)]
             size = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
