@@ -2,13 +2,17 @@
 
 Texts become lower-case words of letters and digits. Any window that reaches the
 similarity s shares at least s / (1 + s) of both's shingles with its item, so
-windows as long as the item are laid at every start from which the text has as
-many shared shingles, whatever their order in the item. Windows and items
-get 64-bit SimHash fingerprints of their shingles, repeats included. The
-fingerprints are cut into RADIUS + 1 blocks, of which two fingerprints within
-RADIUS bits share at least one; what meets in a block and is within the radius
-is verified by the exact weighted Jaccard similarity of the shingles (the sum of
-the lesser over the sum of the greater counts).
+windows as long as an item are laid at every start from which the text has as
+many of that item's shingles, whatever their order. Each distinct window, found
+in however many documents, gets a 64-bit SimHash of its shingles, repeats
+included, and so does each distinct item.
+
+Candidates come from a multi-index of the fingerprints alone: they are cut into
+BLOCKS blocks, and of two fingerprints within RADIUS bits some block differs in
+at most RADIUS // BLOCKS bits. The index holds each item under all such values
+of its blocks, a window looks up its own, and all pairs within the radius are
+found. They are verified by the exact weighted Jaccard similarity of the
+shingles (the sum of the lesser over the sum of the greater counts).
 
 While the benchmark has at most `LITERAL_SHINGLES` distinct shingles, counted
 first, each text is searched where it is read, against a hashed set of literals,
@@ -21,6 +25,8 @@ of its words, or the making of a fingerprint for each of its bits.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +35,7 @@ from factloom.llm.common import saved, table
 SHINGLE = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 the expected distance is below 10 bits with a deviation of 2.9.
-RADIUS = 23
+RADIUS, BLOCKS = 17, 6
 LITERAL_SHINGLES = 20_000
 
 
@@ -49,11 +55,23 @@ def fingerprint(hashes: str) -> str:
     )
 
 
+def cuts() -> list[tuple[int, int]]:
+    """First bit and width of each block of a fingerprint."""
+    ends = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def blocks(fp: Column) -> Column:
-    """The fingerprint's RADIUS + 1 blocks, each as its number above its bits."""
-    n = RADIUS + 1
-    cuts = [64 * k // n for k in range(n + 1)]
-    return F.array(*(F.shiftrightunsigned(fp, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)).bitwiseOR(F.lit(k << 8)) for k in range(n)))
+    """The fingerprint's blocks, each as its number above its bits."""
+    return F.array(*(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(k << 32)) for k, (at, width) in enumerate(cuts())))
+
+
+def around(fp: Column) -> Column:
+    """Each block with every value that differs in at most RADIUS // BLOCKS bits."""
+    near = [[k, mask] for k, (_, width) in enumerate(cuts()) for r in range(RADIUS // BLOCKS + 1) for mask in map(sum, combinations([1 << i for i in range(width)], r))]
+    flips = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(mask).cast("long").alias("mask")) for k, mask in near))
+    own = blocks(fp)
+    return F.transform(flips, lambda x: F.element_at(own, x["k"] + 1).bitwiseXOR(x["mask"]))
 
 
 def weighted_similarity(a: str, b: str) -> str:
@@ -95,18 +113,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     than five words are one shingle. Rows that repeat a doc_id or item_id are
     taken together; null ids are ids like others. Other columns are ignored.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("item")).where("size(item) > 0")
-    items = items.select("item_id", "item", F.size("item").alias("n"), F.least(F.size("item"), F.lit(SHINGLE)).alias("k")).distinct()
+    named = saved(benchmark.select("item_id", words(F.col("text")).alias("item")).where("size(item) > 0").withColumn("key", F.xxhash64("item")))
+    items = named.dropDuplicates(["key"]).select("key", "item", F.size("item").alias("n"), F.least(F.size("item"), F.lit(SHINGLE)).alias("k"))
     items = saved(with_fingerprint(items, "item", "item"))
-    places = items.select("item_id", "n", "k", F.posexplode(F.expr("transform(item_shingles, s -> xxhash64(s))")).alias("place", "hash"))
-    places = saved(places)
+    places = saved(items.select("key", "n", "k", F.explode(F.array_distinct(F.expr("transform(item_shingles, s -> xxhash64(s))"))).alias("hash")))
     hashes = [r["hash"] for r in places.select("hash").distinct().limit(LITERAL_SHINGLES + 1).collect()]
-    bounded = len(hashes) <= LITERAL_SHINGLES
+    bounded = len(hashes) <= LITERAL_SHINGLES and places.count() <= 4 * LITERAL_SHINGLES
     texts = docs.select("doc_id", words(F.col("text")).alias("words"))
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most five
     found = None
     for k in sizes:
-        own = places.where(F.col("k") == k).select("item_id", "n", "hash").distinct()
+        own = places.where(F.col("k") == k).select("key", "n", "hash")
         hit = hits(texts, hashes, k) if bounded else hits_by_join(texts, own, k)
         at = hit.select("doc_id", "words", "hits", F.posexplode_outer("hits").alias("nth", "at")).where("at is not null").withColumn("hash", F.expr(f"xxhash64(slice(words, at, {k}))"))
         met = at.join(F.broadcast(own) if bounded else own, "hash")
@@ -117,25 +134,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         met = met.withColumn("low", F.greatest(F.lit(0), F.col("at") - 1 - F.col("own") + F.col("need"), last - F.col("own")))
         met = met.withColumn("high", F.least(F.col("at") - 1, F.greatest(F.lit(0), F.size("words") - F.col("n"))))
         met = met.where(last.isNotNull() & (F.col("low") <= F.col("high"))).withColumn("start", F.explode(F.sequence("low", "high")))
-        met = met.select("doc_id", "item_id", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("window"))
+        met = met.select("doc_id", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("window"))
         found = met if found is None else found.unionByName(met)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, similarity double, start_word int")
-    windows = saved(with_fingerprint(saved(found.distinct()), "window", "window").select("doc_id", "item_id", "start", "window_shingles", "window_fp"))
-    windows = windows.withColumn("block", F.explode(blocks(F.col("window_fp"))))
-    known = items.select(F.col("item_id").alias("known_id"), "item_shingles", "item_fp")
-    index = known.withColumn("item_block", F.explode(blocks(F.col("item_fp"))))
+    found = saved(found.withColumn("window_key", F.xxhash64("window")))
+    laid = found.select("doc_id", "start", "window_key").distinct()
+    windows = saved(with_fingerprint(found.select("window_key", "window").dropDuplicates(["window_key"]), "window", "window").select("window_key", "window_shingles", "window_fp"))
+    index = items.select(F.col("key").alias("near_key"), "item_fp", F.explode(around(F.col("item_fp"))).alias("item_block"))
+    looked = windows.select(F.col("window_key").alias("near_window"), "window_fp", F.explode(blocks(F.col("window_fp"))).alias("block"))
     near = F.bit_count(F.col("window_fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
-    same = F.col("item_id").eqNullSafe(F.col("known_id")) & (F.col("block") == F.col("item_block"))
-    pairs = windows.join(F.broadcast(index) if bounded else index, same & near).select("doc_id", "item_id", "start", "window_shingles", "item_shingles").distinct()
-    pairs = saved(pairs)
-    scored = pairs.select("doc_id", "item_id", "start", F.expr(weighted_similarity("window_shingles", "item_shingles")).alias("similarity")).where(F.col("similarity") >= similarity)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.col2")).alias("start_word"))
+    pairs = looked.join(index, (F.col("block") == F.col("item_block")) & near).select("near_window", "near_key").distinct()
+    pairs = pairs.join(windows, F.col("near_window") == F.col("window_key")).join(items.select("key", "item_shingles"), F.col("near_key") == F.col("key"))
+    pairs = saved(pairs.select("near_window", "near_key", "window_shingles", "item_shingles"))
+    scored = pairs.select("near_window", "near_key", F.expr(weighted_similarity("window_shingles", "item_shingles")).alias("similarity")).where(F.col("similarity") >= similarity)
+    best = laid.join(scored, F.col("window_key") == F.col("near_window")).groupBy("doc_id", "near_key").agg(F.max(F.struct("similarity", -F.col("start"))).alias("best"))
+    of = named.select("item_id", F.col("key").alias("of_key")).distinct()
+    return best.join(of, F.col("near_key") == F.col("of_key")).groupBy("doc_id", "item_id").agg(F.max("best").alias("best")).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.col2")).alias("start_word"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark passage, with exactly their columns."""
+    """The documents that hold no benchmark passage, with exactly their columns.
+
+    Null and empty texts stay, and repeated rows stay or go together: a row goes
+    if any row of its doc_id (null counts as an id) holds a passage. Without
+    documents no rows, without items all rows.
+    """
     bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("leaking_id")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["leaking_id"]), "left_anti")
 
