@@ -71,16 +71,20 @@ def holder_decision(assignments: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def covering_pairs(assignments: DataFrame, dates: DataFrame) -> DataFrame:
-    """(assignment_id, on_date) where the assignment is in force, by an equi-join on months.
+    """(assignment_id, on_date) where the assignment may be in force, by an equi-join on months.
 
-    Intervals enter every month they touch and must have both ends; dates enter
-    theirs, so no row meets every date.
+    Intervals are closed and an unknown end passes, so it reaches as far as the
+    dates do. Intervals enter every month they touch, dates enter theirs, so no
+    row meets every date.
     """
-    a = with_effective(live(assignments)).where("eff_start is not null and eff_end is not null and eff_end >= eff_start")
-    month = F.explode(F.sequence(F.trunc("eff_start", "month"), F.trunc("eff_end", "month"), F.expr("interval 1 month"))).alias("month")
-    a = a.select("assignment_id", "eff_start", "eff_end", month)
-    d = dates.select("on_date", F.trunc("on_date", "month").alias("month")).distinct()
-    return a.join(d, "month").where("on_date between eff_start and eff_end").select("assignment_id", "on_date")
+    asked = dates.select("on_date").where("on_date is not null").distinct()
+    reach = asked.agg(F.min("on_date").alias("first"), F.max("on_date").alias("last"))
+    a = with_effective(live(assignments)).select("assignment_id", "eff_start", "eff_end").crossJoin(F.broadcast(reach))
+    a = a.select("assignment_id", F.greatest("eff_start", "first").alias("low"), F.least("eff_end", "last").alias("high")).where("low <= high")
+    month = F.explode(F.sequence(F.trunc("low", "month"), F.trunc("high", "month"), F.expr("interval 1 month"))).alias("month")
+    a = a.select("assignment_id", "low", "high", month)
+    d = asked.select("on_date", F.trunc("on_date", "month").alias("month"))
+    return a.join(d, "month").where("on_date between low and high").select("assignment_id", "on_date")
 
 
 def pair_periods(assignments: DataFrame) -> DataFrame:

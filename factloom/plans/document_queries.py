@@ -23,9 +23,9 @@ def _(t):
     return t.orders.select("o_orderkey", F.format_string("https://x.example/list?date=%s&start=%d", F.date_format("o_orderdate", "yyyyMMdd"), (F.col("o_orderkey") % 5) * 20).alias("url"))
 
 
-@query("src_04_listing_starts", "SELECT user_id, list_sort(list_distinct(list(event_id % 25 * 20))) AS starts FROM events GROUP BY 1")
+@query("src_04_listing_starts", "SELECT user_id, list_transform(range(0, CAST(least(ceil(n / 20.0), 25) AS BIGINT)), lambda i: i * 20) AS starts, n > 500 AS failed FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
 def _(t):
-    return t.events.groupBy("user_id").agg(F.array_sort(F.collect_set(F.col("event_id") % 25 * 20)).alias("starts"))
+    return listing.page_walk(t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("total")), "user_id", "total")
 
 
 @query("src_05_first_entries", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
@@ -35,14 +35,15 @@ def _(t):
     return pages.first_entries(e, "user_id", ["ts", "event_id"]).select("user_id", "event_id")
 
 
-@query("src_06_viewer_url", "SELECT page_id, regexp_replace(url, '^http://', 'https://') || '.pdf' AS pdf FROM pages")
+@query("src_06_viewer_url", "SELECT page_id, 'https://' || regexp_replace(url, '^[a-z]+://', '') || '.pdf' AS pdf, 'https://x.example/issue/' || regexp_extract(url, '(\\d+)(?:[?#].*)?$', 1) AS issue FROM pages")
 def _(t):
-    return t.pages.select("page_id", F.concat(F.regexp_replace("url", "^http://", "https://"), F.lit(".pdf")).alias("pdf"))
+    code = F.regexp_extract("url", r"(\d+)(?:[?#].*)?$", 1)
+    return t.pages.select("page_id", F.concat(F.lit("https://"), F.regexp_replace("url", "^[a-z]+://", ""), F.lit(".pdf")).alias("pdf"), F.concat(F.lit("https://x.example/issue/"), code).alias("issue"))
 
 
 @query("src_07_file_scan")
 def _(t):
-    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{t.sf_dir}/region.parquet")
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(t.sf_dir)
     return files.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("stem"), "length", F.sha2("content", 256).alias("sha256"))
 
 
@@ -67,9 +68,11 @@ def _(t):
     return t.pages.select("page_id", found.alias("found")).where("found <> ''")
 
 
-@query("src_14_phrase_span", "SELECT item_id, strpos(line, ' de ') - 1 AS start FROM dateline")
+@query("src_14_phrase_span", "SELECT item_id, CAST(strpos(line, ', ') + 1 AS INT) AS char_start, CAST(length(line) AS INT) AS char_end, CAST(o_orderdate AS DATE) AS published_on FROM dateline")
 def _(t):
-    return t.dateline.select("item_id", (F.instr("line", " de ") - 1).cast("long").alias("start"))
+    found = F.regexp_extract("line", f"(?iu){N.DATE_WORDS}", 0)
+    start = F.instr("line", found)
+    return t.dateline.select("item_id", (start - 1).alias("char_start"), (start - 1 + F.length(found)).alias("char_end"), N.spanish_date(F.col("line")).alias("published_on"))
 
 
 @query("src_15_allowed_pages", r"""
@@ -127,12 +130,6 @@ def _(t):
     return gazette.collective_events(heads.unionByName(table).unionByName(rows))
 
 
-@query("ex_11_document_references", r"SELECT DISTINCT item_id, 'Ley' AS kind, '27594' AS number FROM summary WHERE item_id % 3 = 0")
-def _(t):
-    x = t.summary.where("item_id % 3 = 0").select("item_id", F.explode(N.norm_citations(F.concat("summary", F.lit(" de conformidad con la Ley N° 27594 y la Ley 27594")))).alias("c"))
-    return x.select("item_id", "c.kind", "c.number")
-
-
 @query("ex_12_evidence_span", "SELECT mention_id, strpos('Designar a ' || name || ' en el cargo', name) - 1 AS char_start, strpos('Designar a ' || name || ' en el cargo', name) - 1 + length(name) AS char_end FROM mention")
 def _(t):
     start = F.expr("instr(concat('Designar a ', name, ' en el cargo'), name)") - 1
@@ -174,26 +171,14 @@ def _(t):
     return resolve(t.sql("SELECT m.mention_id, m.mention_id AS seq, m.name, l.label, m.scheme, CASE WHEN m.mention_id % 3 = 0 THEN m.value END AS value FROM mention m JOIN label l ON l.item_id = m.mention_id"))
 
 
-@query("ex_19_cited_documents", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON strpos(d.text, substr(b.text, 1, 60)) > 0")
-def _(t):
-    # passages meet texts on their first word of five letters or more, then in full
-    head = F.substring("text", 1, 60)
-    word = lambda x: F.filter(F.split(x, r"[ \n]"), lambda w: F.length(w) > 0)
-    b = t.benchmark.select("item_id", head.alias("head"), F.element_at(word(head), 3).alias("word"))
-    d = t.documents.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("word"))
-    hit = d.join(F.broadcast(b), "word").select("doc_id", "item_id", "head").distinct()
-    return t.documents.select("doc_id", "text").join(hit, "doc_id").where(F.col("text").contains(F.col("head"))).select("doc_id", "item_id")
-
-
-@query("ex_20_quoted_paragraph", "SELECT conv_id, turn, strpos(text, substr(text, 5, 20)) > 0 AND length(substr(text, 5, 20)) >= 15 AS verified FROM conversations")
+@query("ex_19_cited_documents", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON strpos(d.text, b.text) > 0")
 def _(t):
-    quote = F.expr("substring(text, 5, 20)")
-    return t.conversations.select("conv_id", "turn", (F.col("text").contains(quote) & (F.length(quote) >= 15)).alias("verified"))
+    return search.quoting(t.documents, "doc_id", t.benchmark, "item_id")
 
 
 @query("flt_07_full_text_search")
 def _(t):
-    return search.search(t.documents, 'nation "of the" or idiot -the')
+    return search.search(t.documents, 'thanedble "enor eresan" or tithen -que')
 
 
 @query("wn_10_ranked_search")
@@ -384,9 +369,9 @@ def _(t):
     return t.event.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("authority", F.col("published_on").isNotNull().alias("k"), "published_on", "event_id"))), lambda x: x["event_id"]).alias("sources"))
 
 
-@query("rm_26_decision_history", "SELECT user_id, event_id, event_type FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 200")
+@query("rm_26_decision_history", "SELECT user_id, event_id, event_type FROM events WHERE event_type = 'error' ")
 def _(t):
-    return t.events.where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("user_id", "event_id", "event_type")
+    return t.events.where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "event_type")
 
 
 @query("rm_06_appointment_rows", "SELECT a.assignment_id, s.event_type AS start_act, e.event_type AS end_act, o.name AS organization FROM assignment a LEFT JOIN event s ON s.event_id = a.start_event_id LEFT JOIN event e ON e.event_id = a.end_event_id - 1 LEFT JOIN org o ON o.org_id = a.organization_id WHERE a.superseded_at IS NULL")
@@ -403,5 +388,3 @@ def _(t):
     b = t.org.select(F.col("org_id").alias("event_id"), F.lit("organization").alias("target"), F.col("name").alias("what"))
     c = t.mention.where("person_id is null").select(F.col("mention_id").alias("event_id"), F.lit("mention").alias("target"), F.col("name").alias("what"))
     return a.unionByName(b).unionByName(c)
-
-

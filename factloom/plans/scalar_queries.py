@@ -107,7 +107,7 @@ def _(t):
 
 
 @query("fn_15_structural_title", rf"""
-SELECT item_id, nullif(regexp_extract(u, '{N.STRUCTURAL}', 1), '') AS family, nullif(regexp_extract(u, '{N.STRUCTURAL}', 2), '') AS level FROM (SELECT item_id, {dash('label')} AS u FROM label)""")
+SELECT item_id, nullif(regexp_extract(u, '^[A-Z]+ DEL? (SISTEMA ADMINISTRATIVO|PROGRAMA SECTORIAL) [IVXL]+', 1), '') AS family, nullif(regexp_extract(u, '^[A-Z]+ DEL? (SISTEMA ADMINISTRATIVO|PROGRAMA SECTORIAL) ([IVXL]+)', 2), '') AS level FROM (SELECT item_id, {dash('label')} AS u FROM label)""")
 def _(t):
     return t.label.select("item_id", F.inline(F.array(N.structural_title(N.position_label(F.col("label"))))))
 
@@ -146,12 +146,6 @@ def _(t):
     return t.number.select("item_id", N.bare_number(F.col("number")).alias("number"))
 
 
-@query("fn_21_table_cells", "SELECT doc_id, len(string_split(text, ' | ')) AS n_cells, string_split(text, ' | ')[1] AS first_cell, length(string_split(text, ' | ')[1]) AS first_end FROM documents")
-def _(t):
-    cells = F.split("text", r" \| ")
-    return t.documents.select("doc_id", F.size(cells).cast("long").alias("n_cells"), cells[0].alias("first_cell"), F.length(cells[0]).cast("long").alias("first_end"))
-
-
 @query("fn_23_identity_cell", r"SELECT o_orderkey, CASE WHEN regexp_matches(c, '^\d{8}$') THEN c END AS dni FROM (SELECT o_orderkey, lpad(CAST(o_custkey * 7919 AS STRING), CAST(7 + o_orderkey % 3 AS INT), '0') AS c FROM orders)")
 def _(t):
     cell = t.sql("SELECT o_orderkey, ' ' || lpad(CAST(o_custkey * 7919 AS STRING), CAST(7 + o_orderkey % 3 AS INT), '0') || ' ' AS c FROM orders")
@@ -205,12 +199,6 @@ def _(t):
     return x.select("event_id", F.to_json(F.struct("v.outcome", "v.effect_from")).alias("payload"))
 
 
-@query("fn_32_evidence_integrity", "SELECT item_id, substr(text, 12, length(text)) = substr(text, 12) AS ok, length(text) - 11 AS n FROM benchmark")
-def _(t):
-    quote = F.expr("substring(text, 12)")
-    return t.benchmark.select("item_id", (F.substring("text", 12, F.length("text")) == quote).alias("ok"), F.length(quote).cast("long").alias("n"))
-
-
 @query("fn_33_document_type", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'RESOLUCION_SUPREMA' WHEN 1 THEN 'RESOLUCION_MINISTERIAL' WHEN 2 THEN 'DECRETO_SUPREMO' ELSE 'OTHER' END AS type FROM orders")
 def _(t):
     return t.sql("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'rs' WHEN 1 THEN 'RM' WHEN 2 THEN 'DS' ELSE 'XX' END AS code FROM orders").select("o_orderkey", N.document_type(F.col("code")).alias("type"))

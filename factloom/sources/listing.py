@@ -90,3 +90,14 @@ def refused(found: DataFrame, requested: str) -> DataFrame:
     g = found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("total"), F.min("range_from").alias("a"), F.max("range_to").alias("b"), F.bool_and("footer_agrees").alias("ok"))
     reason = F.when((F.col("a") != requested) | (F.col("b") != requested), "other days").when(F.col("total") != F.col("n"), "total differs").when(~F.col("ok"), "card contradicts itself")
     return g.select("page_id", reason.alias("reason")).where("reason is not null")
+
+
+#: Entries of a listing page, and pages after which a walk fails.
+PAGE, PAGES = 20, 25
+
+
+def page_walk(listings: DataFrame, key: str, total: str) -> DataFrame:
+    """(key, starts, failed): the pages a walk over a listing of so many entries visits, in order; beyond PAGES pages it fails."""
+    pages = F.ceil(F.col(total) / PAGE)
+    starts = F.transform(F.sequence(F.lit(1), F.least(pages, F.lit(PAGES))), lambda i: (i - 1) * PAGE)
+    return listings.select(key, F.when(pages > 0, starts).otherwise(F.array().cast("array<bigint>")).alias("starts"), (pages > PAGES).alias("failed"))
