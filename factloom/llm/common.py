@@ -42,10 +42,13 @@ def id_type(docs: DataFrame) -> str:
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/factloom-checkpoints") -> None:
-    """Use the cluster's shared folder; set one only where the session names none."""
+    """Use the cluster's shared folder; a folder of our own only in local mode, where the session may name none."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or fallback)
 
 
 def saved(df: DataFrame) -> DataFrame:
