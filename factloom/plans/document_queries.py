@@ -136,34 +136,11 @@ def _(t):
     return t.mention.select("mention_id", start.cast("long").alias("char_start"), (start + F.length("name")).cast("long").alias("char_end"))
 
 
-@query("ex_13_event_fan_out", "SELECT 'event' AS t, count(*) AS n FROM event UNION ALL SELECT 'participant', count(*) FROM participant UNION ALL SELECT 'assertion', count(*) FROM event WHERE stated = 'NOT_STATED'")
-def _(t):
-    parts = [("event", t.event), ("participant", t.participant), ("assertion", t.event.where("stated = 'NOT_STATED'"))]
-    out = None
-    for name, f in parts:
-        own = f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n")
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
 @query("ex_14_first_mention", "SELECT document_id, name, min(mention_id) AS mention_id, arg_min(role, mention_id) AS role FROM mention GROUP BY 1, 2")
 def _(t):
     return t.mention.groupBy("document_id", "name").agg(F.min("mention_id").alias("mention_id"), F.min_by("role", "mention_id").alias("role"))
 
 
-@query("ex_15_organization_resolution", "SELECT o.org_id, c.survivor, CASE WHEN c.survivor = o.org_id THEN 'NEW' ELSE 'EXISTING' END AS outcome FROM org o JOIN (SELECT name, min(org_id) AS survivor FROM org GROUP BY 1) c ON c.name = o.name")
-def _(t):
-    s = t.org.groupBy("name").agg(F.min("org_id").alias("survivor"))
-    return t.org.select("org_id", "name").join(s, "name").select("org_id", "survivor", F.when(F.col("survivor") == F.col("org_id"), "NEW").otherwise("EXISTING").alias("outcome"))
-
-
-@query("ex_16_position_keys", "SELECT count(*) AS positions FROM (SELECT DISTINCT organization_id, label FROM assignment)")
-def _(t):
-    from factloom.operators.versioning import key_id
-
-    return t.assignment.select(key_id("organization_id", "label").alias("id")).distinct().agg(F.count(F.lit(1)).alias("positions"))
-
-
 @query("ex_17_resolution_in_order")
 def _(t):
     from factloom.operators.resolution import resolve
@@ -209,13 +186,6 @@ def _(t):
     return t.run_item.select("item_id", F.when(F.col("status") == "INGESTED", "accepted").otherwise("candidate").alias("graph"))
 
 
-@query("rdf_05_graph_merge", "SELECT DISTINCT 'https://facts.example/nation/' || n AS s, o FROM (SELECT c_nationkey AS n, 'x' AS o FROM customer UNION ALL SELECT s_nationkey, 'x' FROM supplier)")
-def _(t):
-    a = Q.quads(t.customer, "a", Q.iri("nation", F.col("c_nationkey")), {"in": (F.lit("x"), "literal")})
-    b = Q.quads(t.supplier, "b", Q.iri("nation", F.col("s_nationkey")), {"in": (F.lit("x"), "literal")})
-    return a.unionByName(b).select("s", "p", "o").distinct().select("s", "o")
-
-
 @query("rdf_06_projectable", "SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'")
 def _(t):
     return t.orders.select("o_orderkey").join(t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
@@ -255,44 +225,9 @@ def _(t):
     })
 
 
-@query("val_02_invariants", """
-SELECT 'no_date_when_not_stated' AS rule, count(*) AS n FROM assignment WHERE valid_from > valid_to
-UNION ALL SELECT 'one_id_a_row', count(*) FROM (SELECT assignment_id FROM assignment GROUP BY 1 HAVING count(*) > 1)
-UNION ALL SELECT 'starts_before_ends', count(*) FROM assignment WHERE coalesce(valid_from, legal_from) > coalesce(valid_to, legal_to)""")
-def _(t):
-    a = temporal.with_effective(t.assignment)
-    parts = [("no_date_when_not_stated", a.where("valid_from > valid_to")), ("one_id_a_row", a.groupBy("assignment_id").count().where("count > 1")), ("starts_before_ends", a.where("eff_start > eff_end"))]
-    out = None
-    for name, f in parts:
-        own = f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n")
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
 # Composite questions
 
 
-@query("q_01_person_search", """
-SELECT p.person_id, count(DISTINCT m.document_id) AS documents, min(h.n) AS homonyms FROM person p JOIN mention m ON m.person_id = p.person_id JOIN (SELECT name, count(DISTINCT person_id) AS n FROM person GROUP BY 1) h ON h.name = p.name
-WHERE strpos(' ' || p.name, ' RED') > 0 GROUP BY 1 ORDER BY 1 LIMIT 50""")
-def _(t):
-    p = t.person.where(C.prefix_search(F.col("name"), F.array(F.lit("RED")))).select("person_id", "name")
-    h = t.person.groupBy("name").agg(F.countDistinct("person_id").alias("homonyms"))
-    m = t.mention.select("person_id", "document_id").join(p, "person_id").join(h, "name")
-    return m.groupBy("person_id").agg(F.countDistinct("document_id").alias("documents"), F.min("homonyms").alias("homonyms")).orderBy("person_id").limit(50)
-
-
-@query("q_02_person_dossier", """
-SELECT p.person_id, coalesce(m.mentions, 0) AS mentions, coalesce(a.periods, 0) AS periods, a.first_start FROM person p
-LEFT JOIN (SELECT person_id, count(*) AS mentions FROM mention GROUP BY 1) m ON m.person_id = p.person_id
-LEFT JOIN (SELECT person_id, count(*) AS periods, min(coalesce(valid_from, legal_from)) AS first_start FROM assignment WHERE superseded_at IS NULL GROUP BY 1) a ON a.person_id = p.person_id""")
-def _(t):
-    m = t.mention.groupBy("person_id").agg(F.count(F.lit(1)).alias("mentions"))
-    a = temporal.with_effective(temporal.live(t.assignment)).groupBy("person_id").agg(F.count(F.lit(1)).alias("periods"), F.min("eff_start").alias("first_start"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return t.person.select("person_id").join(m, "person_id", "left").join(a, "person_id", "left").select("person_id", zero("mentions"), zero("periods"), "first_start")
-
-
 @query("q_03_signed_acts", "SELECT m.person_id, list_sort(list_distinct(list(e.event_id))) AS events FROM mention m JOIN event e ON e.document_id = m.document_id AND e.event_type = 'APPOINTMENT' WHERE m.person_id IS NOT NULL GROUP BY 1")
 def _(t):
     e = t.event.where("event_type = 'APPOINTMENT'").select("document_id", "event_id")
@@ -374,14 +309,6 @@ def _(t):
     return t.events.where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "event_type")
 
 
-@query("rm_06_appointment_rows", "SELECT a.assignment_id, s.event_type AS start_act, e.event_type AS end_act, o.name AS organization FROM assignment a LEFT JOIN event s ON s.event_id = a.start_event_id LEFT JOIN event e ON e.event_id = a.end_event_id - 1 LEFT JOIN org o ON o.org_id = a.organization_id WHERE a.superseded_at IS NULL")
-def _(t):
-    s = t.event.select(F.col("event_id").alias("start_event_id"), F.col("event_type").alias("start_act"))
-    e = t.event.select((F.col("event_id") + 1).alias("end_event_id"), F.col("event_type").alias("end_act"))
-    o = t.org.select(F.col("org_id").alias("organization_id"), F.col("name").alias("organization"))
-    return temporal.live(t.assignment).join(s, "start_event_id", "left").join(e, "end_event_id", "left").join(o, "organization_id", "left").select("assignment_id", "start_act", "end_act", "organization")
-
-
 @query("rm_22_task_context", "SELECT event_id, 'event' AS target, event_type AS what FROM event WHERE stated = 'NOT_STATED' UNION ALL SELECT org_id, 'organization', name FROM org UNION ALL SELECT mention_id, 'mention', name FROM mention WHERE person_id IS NULL")
 def _(t):
     a = t.event.where("stated = 'NOT_STATED'").select("event_id", F.lit("event").alias("target"), F.col("event_type").alias("what"))

@@ -20,11 +20,20 @@ def iri(kind: str, key: Column) -> Column:
     return F.concat(F.lit(f"{BASE}{kind}/"), key.cast("string"))
 
 
+def _object() -> Column:
+    """The object as N-Quads and TriG write it."""
+    quoted = F.regexp_replace(F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
+    return F.when(F.col("kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(F.concat(F.lit('"'), quoted, F.lit('"')))
+
+
 def statement(q: DataFrame) -> DataFrame:
     """The quads as lines of N-Quads in column value."""
-    quoted = F.regexp_replace(F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
-    o = F.when(F.col("kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(F.concat(F.lit('"'), quoted, F.lit('"')))
-    return q.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), o, F.lit(" <"), "g", F.lit("> .")).alias("value"))
+    return q.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), _object(), F.lit(" <"), "g", F.lit("> .")).alias("value"))
+
+
+def trig(q: DataFrame) -> DataFrame:
+    """The quads as lines of TriG in column value, each a graph block of one triple, so that files can be split anywhere."""
+    return q.select(F.concat(F.lit("<"), "g", F.lit("> { <"), "s", F.lit("> <"), "p", F.lit("> "), _object(), F.lit(" . }")).alias("value"))
 
 
 def json_ld(q: DataFrame) -> DataFrame:

@@ -407,16 +407,6 @@ def _(t):
     return closure.labels_up(t.spark, t.org.select(F.col("org_id").alias("node"), F.col("predecessor_id").alias("target")), t.org.select(F.col("org_id").alias("node"), F.col("name").alias("label")))
 
 
-@query("rec_06_equivalent_units", "SELECT org_id, min(org_id) OVER (PARTITION BY name, predecessor_id IS NULL) AS keeps FROM org")
-def _(t):
-    return t.org.select("org_id", F.min("org_id").over(Window.partitionBy("name", F.col("predecessor_id").isNull())).alias("keeps"))
-
-
-@query("rec_07_subtree", f"{CHAIN} SELECT DISTINCT node AS org_id FROM walk WHERE member % 8 = 0")
-def _(t):
-    return closure.chain(t.spark, t.org.select(F.col("org_id").alias("node"), F.col("predecessor_id").alias("target"))).where("member % 8 = 0").select(F.col("node").alias("org_id")).distinct()
-
-
 # Versions, sinks and workflow
 
 
@@ -458,11 +448,6 @@ def _(t):
     return t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti")
 
 
-@query("mut_02_current_run", "SELECT e.event_id FROM events e JOIN (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_type DESC) AS r FROM (SELECT DISTINCT user_id, event_type FROM events)) l ON l.user_id = e.user_id AND l.event_type = e.event_type WHERE l.r = 1")
-def _(t):
-    return versioning.current(t.events, "user_id", ["event_type"]).select("event_id")
-
-
 @query("mut_03_orphan_sweep", f"SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49) AND s_acctbal > 0")
 def _(t):
     return relational.referenced(t.supplier.where("s_acctbal > 0").select("s_suppkey"), "s_suppkey", [(t.lineitem.where("l_quantity > 49"), "l_suppkey")], False)
@@ -474,27 +459,12 @@ def _(t):
     return t.assignment.select("assignment_id").join(gone, "assignment_id", "left_anti")
 
 
-@query("mut_05_decision_fold", "SELECT user_id, arg_max(event_type, ROW(ts, event_id)) AS state, count(*) AS decisions FROM events WHERE event_type <> 'view' GROUP BY 1")
-def _(t):
-    return t.events.where("event_type <> 'view'").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count(F.lit(1)).alias("decisions"))
-
-
 @query("mut_06_precedent_sweep", f"SELECT m.mention_id, p.person_id FROM mention m JOIN ({PRECEDENT_SQL}) p ON p.mention_id = m.mention_id WHERE m.person_id IS NULL")
 def _(t):
     pending = t.mention.where("person_id is null")
     return identity.by_precedent(pending, t.precedent).select("mention_id", "person_id")
 
 
-@query("mut_07_merged_positions", "SELECT o.name, count(DISTINCT a.position_id) AS positions FROM assignment a JOIN org o ON o.org_id = a.organization_id GROUP BY 1")
-def _(t):
-    return t.assignment.join(t.org.select(F.col("org_id").alias("organization_id"), "name"), "organization_id").groupBy("name").agg(F.countDistinct("position_id").alias("positions"))
-
-
-@query("mut_10_retry_queue", "SELECT item_id FROM run_item WHERE status = 'RETRY_PENDING' ORDER BY started_at, item_id")
-def _(t):
-    return t.run_item.where("status = 'RETRY_PENDING'").orderBy("started_at", "item_id").select("item_id")
-
-
 @query("state_interval_history", "SELECT user_id, event_type, ts AS from_ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS to_ts FROM (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) WHERE r = 1 OR event_type IS DISTINCT FROM b")
 def _(t):
     return versioning.interval_history(t.events, "user_id", "ts", "event_type")

@@ -39,11 +39,6 @@ def _(t):
     return t.orders.select("o_orderkey", outcome.alias("outcome"))
 
 
-@query("mut_09_batch_decisions", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'task is not pending' END AS problem FROM events")
-def _(t):
-    return t.events.select("event_id", F.when(F.col("event_type") == "error", "task is not pending").alias("problem"))
-
-
 @query("mut_11_corroborating_links", "SELECT event_id, document_id, 'CORROBORATING' AS role FROM event WHERE authority <> 'OFFICIAL_GAZETTE'")
 def _(t):
     return t.event.where("authority <> 'OFFICIAL_GAZETTE'").select("event_id", "document_id", F.lit("CORROBORATING").alias("role"))
