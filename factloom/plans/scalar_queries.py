@@ -58,9 +58,9 @@ def _(t):
     return t.label.select("item_id", N.organization_name(F.col("label")).alias("name"))
 
 
-@query("fn_08_position_label", f"SELECT doc_id, {dash("replace(text, 'ß', 'ss')")} AS label FROM documents")
+@query("fn_08_position_label", f"SELECT item_id, {dash('label')} AS label FROM label")
 def _(t):
-    return t.documents.select("doc_id", N.position_label(F.col("text")).alias("label"))
+    return t.label.select("item_id", N.position_label(F.col("label")).alias("label"))
 
 
 @query("fn_09_document_number", rf"SELECT item_id, upper(replace(regexp_replace({ws('number')}, '(?i)^\s*(?:n\s*[º°oO]\.?|n\.\s*[º°]|num(?:ero)?\.?)\s*', ''), ' ', '')) AS number FROM number")
