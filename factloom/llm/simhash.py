@@ -12,6 +12,11 @@ own cell of the integer grid and those one step away, at most 33, and two halves
 within 2 steps of each other always meet in a cell. Counts are kept in unary
 (00, 01, 11), where a step flips one bit and a distance is a popcount, all in
 generated JVM code. Equal fingerprints are one node, whatever their number.
+
+A dense group would give all its pairs. So nodes first meet only one other, the
+head of each of their cells: the one that most documents have, then one drawn
+by a hash. What these links join is one root, and only nodes of still different
+roots meet each other, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,12 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import id_type, saved, slices, table
+from factloom.llm.common import id_type, saved, shuffles_dropped, slices, table
 from factloom.llm.components import components
 
 WORDS = 4
 SEED = 42
 RADIUS = 4
+#: Rounds of links to heads before all nodes of different roots meet.
+HEADS = 2
 #: Bits of the even places of a long.
 EVEN = 0x5555555555555555
 
@@ -43,46 +50,29 @@ def bit_votes(digests: bytes) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     """Unsigned SimHash of the text's word shingles, repeats included; 0 without a word."""
-    return fingerprint_views(text, words, seed, 1)[0]
-
-
-def fingerprint_views(text: str | None, words: int, seed: int, views: int) -> list[int]:
-    """The SimHash, then further ones of the same shingles whose hashes are mixed anew for each view."""
     tokens = text.encode().lower().split() if text else []
     if not tokens:
-        return [0] * views
+        return 0
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(sizes + 1) - 1
     k = min(words, len(tokens))
     first, last = (ends - sizes)[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist()
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)])
-    out = []
-    for view in range(views):
-        if view:
-            mixed = np.frombuffer(hashes, ">u8").astype(np.uint64) + np.uint64(view * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-            voted = (mixed ^ (mixed >> np.uint64(31))).astype(">u8").tobytes()
-        else:
-            voted = hashes
-        out.append(int.from_bytes(np.packbits(2 * bit_votes(voted) > len(first)).tobytes(), "big"))
-    return out
-
-
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, views: int = 1) -> DataFrame:
-    """(doc_id, fp0, fp1, ...) as signed longs, a fingerprint a view, for every row of (doc_id, text)."""
-    import pyarrow as pa
+    votes = bit_votes(b"".join([digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)]))
+    return int.from_bytes(np.packbits(2 * votes > len(first)).tobytes(), "big")
+
 
-    names = [f"fp{v}" for v in range(views)]
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp) as a signed long for every row of (doc_id, text)."""
+    import pyarrow as pa
 
     def run(batches):
         for part in slices(batches):
-            fp = np.array([fingerprint_views(t, words, seed, views) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, views)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fp.T)], ["doc_id", *names])
+            fp = np.array([fingerprint(t, words, seed) for t in part.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {id_type(docs)}", *(f"{n} long" for n in names)]))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, fp long")
 
 
 def unary(fp: Column) -> Column:
@@ -109,65 +99,66 @@ def cells(counts: Column, steps: int) -> Column:
     return F.array(*out)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes in rows (node, fp) whose fingerprints differ in at most `radius` bits."""
+def grid(nodes: DataFrame, radius: int) -> DataFrame:
+    """Rows (fp, ...) in each of their cells; two fingerprints within the radius share one."""
     if not 0 <= radius <= 5:
         raise ValueError("the grid covers radii of 0 to 5 bits")
     steps = 1 if radius >= 2 else 0
-    grid = distinct.select("node", "fp", F.explode(cells(unary(F.col("fp")), steps)).alias("cell")).where("cell is not null")
-    left, right = (grid.select("cell", F.col("node").alias(n), F.col("fp").alias(f"{n}_fp")) for n in "ab")
-    bound = F.bit_count(unary(F.col("a_fp")).bitwiseXOR(unary(F.col("b_fp")))) <= radius
-    exact = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius
-    return left.join(right, (left.cell == right.cell) & (F.col("a") < F.col("b")) & bound & exact).select("a", "b").distinct()
+    return nodes.select("*", F.explode(cells(unary(F.col("fp")), steps)).alias("cell")).where("cell is not null")
+
 
+def near(a: Column, b: Column, radius: int) -> Column:
+    """The Manhattan bound of the bit counts, then the bits themselves."""
+    return (F.bit_count(unary(a).bitwiseXOR(unary(b))) <= radius) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS, views: int = 1) -> DataFrame:
+
+def links_to_heads(nodes: DataFrame, radius: int, weight: Column) -> DataFrame:
+    """Links (a, b) of roots: each node's and, within the radius, that of the weightiest node of each of its cells."""
+    placed = grid(nodes, radius)
+    heads = placed.groupBy(F.col("cell").alias("of")).agg(F.max(F.struct(weight.alias("weight"), "fp", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high"))
+    heads = heads.where("low < high").select("of", F.col("head.fp").alias("head_fp"), F.col("head.root").alias("head_root"))
+    met = placed.join(heads, (F.col("cell") == F.col("of")) & (F.col("root") != F.col("head_root")) & near(F.col("fp"), F.col("head_fp"), radius))
+    return met.select(F.col("root").alias("a"), F.col("head_root").alias("b")).distinct()
+
+
+def links_across(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b), a < b, of roots that have nodes within the radius of each other, from rows (fp, root)."""
+    placed = grid(nodes.select("fp", "root"), radius)
+    closed = placed.groupBy(F.col("cell").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 1 and low = high").select("of")
+    placed = placed.join(closed, F.col("cell") == F.col("of"), "left_anti")
+    left, right = (placed.select("cell", F.col("root").alias(n), F.col("fp").alias(f"{n}_fp")) for n in "ab")
+    return left.join(right, (left.cell == right.cell) & (F.col("a") < F.col("b")) & near(F.col("a_fp"), F.col("b_fp"), radius)).select("a", "b").distinct()
+
+
+def joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (fp, n, first_id, root) with roots replaced by the least root that the links reach."""
+    found = components(links).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    return saved(nodes.join(found, F.col("root") == F.col("was"), "left").select("fp", "n", "first_id", F.coalesce("now", "root").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of (doc_id, text); all links count, none is lost.
 
-    component_id is the least doc_id reachable over links; with more than one
-    view two documents link if the fingerprints of any view do. Texts that are
-    null, empty or without a word have fingerprint 0 and link like any other.
+    component_id is the least doc_id reachable over links. Texts that are null,
+    empty or without a word have fingerprint 0 and link like any other.
     Repeated rows keep a row each; null ids get a row, but never name a
     component unless it has no other. Other columns are ignored; an empty table
     gives no rows.
     """
-    names = [f"fp{v}" for v in range(views)]
-    prints = fingerprints(docs, words, seed, views)
-    prints = saved(prints.withColumn("node", F.col("fp0") if views == 1 else F.xxhash64(*names)))
-    first = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(n).alias(n) for n in names))
-    # each pass links only what earlier ones left apart, so a dense group gives few pairs more than once
-    passes = [(n, radius) for n in names] if views == 1 else [("fp0", min(3, radius)), *((n, radius) for n in names)]
-    roots = None
-    for n, within in passes:
-        own = first.select(F.col("node").alias("of"), F.col(n).alias("fp"))
-        if roots is not None:
-            own = own.join(roots, F.col("of") == F.col("linked"), "left")
-        own = own.select((F.col("of") if roots is None else F.coalesce("root", "of")).alias("node"), "fp").distinct()
-        met = components(links(own, within)).select(F.col("node").alias("was"), F.col("root").alias("now"))
-        if roots is None:
-            roots = met.select(F.col("was").alias("linked"), F.col("now").alias("root"))
-        else:
-            moved = roots.join(met, F.col("root") == F.col("was"), "left").select("linked", F.coalesce("now", "root").alias("root"))
-            fresh = met.join(roots.select("linked"), F.col("was") == F.col("linked"), "left_anti").select(F.col("was").alias("linked"), F.col("now").alias("root"))
-            roots = saved(moved.unionByName(fresh))
-    linked = roots.join(first, F.col("linked") == F.col("node")).select("linked", "root", "first_id")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = linked.join(least, "root").select("linked", "least_id")
-    classes = first.join(named, F.col("node") == F.col("linked"), "left").select(F.col("node").alias("class"), F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(classes, F.col("node") == F.col("class")).select("doc_id", F.col("fp0").alias("fp"), "component_id")
-
-
-def keep_one(docs: DataFrame, words: int, radius: int, views: int) -> DataFrame:
-    """The documents that name their component, with exactly their columns: one of each group.
-
-    Rows that repeat a kept document (id and text) stay once. Rows with a null
-    id stay where their component has no other id.
-    """
-    found = saved(near_duplicates(docs, words, SEED, radius, views).select("doc_id", "component_id"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    prints = saved(fingerprints(docs, words, seed))
+    with shuffles_dropped(docs.sparkSession):
+        nodes = grouped(prints, radius)
+    least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id")).select(F.col("root").alias("of"), "component_id")
+    classes = nodes.join(least, F.col("root") == F.col("of")).select(F.col("fp").alias("class"), "component_id")
+    return prints.join(classes, F.col("fp") == F.col("class")).select("doc_id", "fp", "component_id")
+
+
+def grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, n, first_id, root) of each distinct fingerprint of rows (doc_id, fp); root is the least that links reach."""
+    nodes = saved(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).withColumn("root", F.col("fp")))
+    for weight in (F.col("n"), *(F.xxhash64(F.lit(k), "fp") for k in range(HEADS - 1))):
+        nodes = joined(nodes, links_to_heads(nodes, radius, weight))
+    return joined(nodes, links_across(nodes, radius))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
