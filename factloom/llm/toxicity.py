@@ -34,6 +34,8 @@ THRESHOLD = 0.3
 EDGES = ".,;:!?()[]{}\"'«»…-|*#$%&<>"
 #: Tokens of a training segment, and steps of gradient ascent.
 SEGMENT, EPOCHS = 256, 40
+#: Tokens whose marginals are held at a time in training.
+STRETCH = 200_000
 #: A word is a toxic token if so many times likelier in toxic documents, and in so many of them.
 LIKELIER, SUPPORT = 8.0, 3
 
@@ -143,20 +145,22 @@ def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int]) -> Model:
-    """The field and the document model. Without both labels every text scores the rate of label 1.
+def train(examples) -> Model:
+    """The field and the document model, from (text, label) pairs. Without both labels every text scores the rate of label 1.
 
-    Tokens become numbers of their forms text by text, so the sample's words are held once each.
+    Tokens become numbers of their forms text by text, so no text is held after its turn and the sample's words once each.
     """
-    y = np.array(labels, np.int64)
     ids: dict[str, int] = {}
-    own = [np.array([ids.setdefault(f, len(ids)) for f in forms(t)], np.int32) for t in texts]
+    own, labels = [], []
+    for text, label in examples:
+        own.append(np.array([ids.setdefault(f, len(ids)) for f in forms(text)], np.int32))
+        labels.append(label)
+    y = np.array(labels, np.int64)
     sizes = np.array([len(x) for x in own], np.int64)
-    hashed = [features(f) for f in ids]
     empty = ids.get("")
-    feature = np.array([i for h in hashed for i in h], np.int64)
-    owner = np.repeat(np.arange(len(ids)), [len(h) for h in hashed])
-    del hashed, ids
+    feature = np.fromiter((i for f in ids for i in features(f)), np.int32)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), [3 if f else 0 for f in ids])
+    del ids
     weights, bias, trans = np.zeros(HASHED), -4.0, np.array([[1.0, 0.05], [0.5, 0.5]])
     kinds = int(owner[-1]) + 1 if len(owner) else 0
     kinds = max(kinds, 1 + max((int(x.max()) for x in own if len(x)), default=-1))
@@ -171,7 +175,8 @@ def train(texts: list[str], labels: list[int]) -> Model:
         weights, bias, trans = train_field(own, sizes, y, toxic, feature, owner, kinds)
     emission = bias + np.bincount(owner, weights[feature], minlength=kinds)
     codes = np.concatenate(own) if own else np.zeros(0, np.int32)
-    inputs = summary(marginals(emission[codes], sizes, trans), sizes)
+    inputs = [summary(marginals(emission[codes[a:b]], part, trans), part) for a, b, part in stretches(sizes, np.cumsum(sizes))]
+    inputs = np.concatenate(inputs) if inputs else summary(np.zeros(0), sizes)
     return Model(weights.astype(np.float32), bias, trans, train_logistic(inputs, y))
 
 
@@ -185,14 +190,19 @@ def train_field(own: list[np.ndarray], lengths: np.ndarray, y: np.ndarray, toxic
     weights, bias, log_trans = np.zeros(HASHED), -4.0, np.log(np.array([[1.0, 0.05], [0.5, 0.5]]))
     square_w, square_b, square_t = np.full(HASHED, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     seen = np.bincount(2 * target[inner] + target[inner + 1], minlength=4).reshape(2, 2)
+    ends = np.cumsum(sizes)
     for _ in range(EPOCHS):  # ascent of the conditional likelihood with a small penalty, each weight with its own step
-        emission = (bias + np.bincount(owner, weights[feature], minlength=kinds))[codes]
-        p = marginals(emission, sizes, np.exp(log_trans))
-        miss = target - p
-        of_kind = np.bincount(codes, miss, minlength=kinds)
+        by_kind = bias + np.bincount(owner, weights[feature], minlength=kinds)
+        trans = np.exp(log_trans)
+        of_kind, gt, gb = np.zeros(kinds), seen - 0.05 * log_trans, 0.0
+        for first, last_, own_sizes in stretches(sizes, ends):
+            part = codes[first:last_]
+            p = marginals(by_kind[part], own_sizes, trans)
+            miss = target[first:last_] - p
+            of_kind += np.bincount(part, miss, minlength=kinds)
+            gt = gt - pair_counts(None, p, own_sizes, trans, np.flatnonzero(~last[first:last_]))
+            gb += miss.sum()
         g = np.bincount(feature, of_kind[owner], minlength=HASHED) - 0.05 * weights
-        gt = seen - pair_counts(emission, p, sizes, np.exp(log_trans), inner) - 0.05 * log_trans
-        gb = miss.sum()
         square_w += g * g
         square_b += gb * gb
         square_t += gt * gt
@@ -202,6 +212,16 @@ def train_field(own: list[np.ndarray], lengths: np.ndarray, y: np.ndarray, toxic
     return weights, bias, np.exp(log_trans)
 
 
+def stretches(sizes: np.ndarray, ends: np.ndarray):
+    """(first token, end, sizes) of runs of whole sequences of about STRETCH tokens, so that few numbers a token are held at once."""
+    at = 0
+    while at < len(sizes):
+        start = int(ends[at] - sizes[at])
+        to = max(at + 1, int(np.searchsorted(ends, start + STRETCH, side="right")))
+        yield start, int(ends[to - 1]), sizes[at:to]
+        at = to
+
+
 def train_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     w = np.zeros(3)
     for _ in range(50):  # Newton's method with a small penalty
@@ -235,12 +255,22 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2) -> Mode
 
     by = ["doc_id", "name", "place"]
     segments = texts.mapInArrow(cut, f"doc_id {id_type(docs)}, label int, name long, place long, segment string")
-    sample = segments.dropDuplicates([*by, "segment"]).orderBy(F.xxhash64(*by), *by, "segment").limit(SAMPLE_SEGMENTS).toPandas().sort_values([*by, "segment"])
-    joined, wanted = [], []
-    for _, own in sample.groupby(["doc_id", "name"], sort=True):
-        joined.append(" ".join(own["segment"]))
-        wanted.append(int(own["label"].iloc[0]))
-    return train(joined, wanted)
+    chosen = segments.dropDuplicates([*by, "segment"]).orderBy(F.xxhash64(*by), *by, "segment").limit(SAMPLE_SEGMENTS)
+    return train(documents(chosen.toArrow().sort_by([(c, "ascending") for c in (*by, "segment")])))
+
+
+def documents(sample):
+    """(text, label) of each document of the sorted segments, a text at a time; the sample goes with the last."""
+    last, words, label = None, [], 0
+    for part in sample.to_batches(max_chunksize=256):
+        for doc, own, name, _, segment in zip(*(part.column(c).to_pylist() for c in ("doc_id", "label", "name", "place", "segment")), strict=True):
+            if (doc, name) != last and words:
+                yield " ".join(words), label
+                words = []
+            last, label = (doc, name), own
+            words.append(segment)
+    if words:
+        yield " ".join(words), label
 
 
 def score(docs: DataFrame, model: Model, mod: int = 4, held: int = 2) -> DataFrame:
