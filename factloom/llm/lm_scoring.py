@@ -42,7 +42,7 @@ ORDER = 3
 #: Frequency buckets of the contexts of one order: by powers of two, the last open.
 CONTEXTS = 14
 #: Steps of quantised logarithms to the base 2.
-STEPS = 4
+STEPS = 2
 #: Levels of such a logarithm, with one for zero; the last is open.
 LEVELS = 256
 END, START = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" start")
