@@ -143,7 +143,8 @@ WITH c AS ({CLAIMS}), p AS (SELECT *, list_position(list_transform(string_split(
 SELECT conv_id, turn, quote, CASE WHEN predicate = 'BELIEVES' THEN 'unknown predicate' WHEN predicate = 'MENTIONS' THEN 'reserved predicate' WHEN coalesce(length(quote), 0) < 15 THEN 'short quote' WHEN coalesce(place, -1) < 0 THEN 'not literal' ELSE 'verified' END AS outcome,
   CASE WHEN predicate = 'SIGNED' AND length(quote) >= 15 AND place >= 0 THEN CAST(place AS INT) END AS paragraph FROM p""")
 def _(t):
-    x = t.sql(CLAIMS).withColumn("paragraphs", F.split("text", "\n"))
+    shouted = N.upper_by_character(F.substr("text", F.lit(5), F.lit(20)))
+    x = t.sql(CLAIMS).withColumn("quote", F.when(F.col("turn") % 4 == 1, shouted).otherwise(F.col("quote"))).withColumn("paragraphs", F.split("text", "\n"))
     return claims.verify(x, ("SIGNED", "HOLDS"), ("MENTIONS",)).select("conv_id", "turn", "quote", "outcome", "paragraph")
 
 
