@@ -133,20 +133,20 @@ def article(html: str | None) -> dict:
             headline = m[1]
     iso = re.match(r"\d{4}-\d{2}-\d{2}", str(dated or ""))
     body = list(dict.fromkeys(t for tag, t in blocks(html) if tag == "p" and len(t) >= PARAGRAPH))
-    return {"headline": " ".join(unescape(headline).split()) if headline else None, "published_on": iso[0] if iso else None, "paragraphs": body, "body_scope": "METADATA_ONLY" if not body else "PARTIAL_PAYWALL" if paid else "FULL"}
+    return {"headline": " ".join(unescape(headline).split()) if headline else None, "headline_markup": headline, "published_on": iso[0] if iso else None, "paragraphs": body, "body_scope": "METADATA_ONLY" if not body else "PARTIAL_PAYWALL" if paid else "FULL"}
 
 
 def web_articles(pages: DataFrame) -> DataFrame:
-    """(page_id, headline, published_on, paragraphs, body_scope) of (page_id, html)."""
+    """(page_id, headline, headline_markup, published_on, paragraphs, body_scope) of (page_id, html); the markup is the headline as the page holds it."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             got = [article(h) for h in b.column(1).to_pylist()]
             col = lambda k, t: pa.array([g[k] for g in got], t)
-            yield pa.RecordBatch.from_arrays([b.column(0), col("headline", pa.string()), col("published_on", pa.string()), col("paragraphs", pa.list_(pa.string())), col("body_scope", pa.string())], ["page_id", "headline", "published_on", "paragraphs", "body_scope"])
+            yield pa.RecordBatch.from_arrays([b.column(0), col("headline", pa.string()), col("headline_markup", pa.string()), col("published_on", pa.string()), col("paragraphs", pa.list_(pa.string())), col("body_scope", pa.string())], ["page_id", "headline", "headline_markup", "published_on", "paragraphs", "body_scope"])
 
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, headline string, published_on string, paragraphs array<string>, body_scope string")
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, headline string, headline_markup string, published_on string, paragraphs array<string>, body_scope string")
 
 
 def host(url: Column) -> Column:

@@ -160,6 +160,21 @@ def test_pages_keep_their_words_in_order(spark):
         assert len(text.split()) <= 2 * len(words) + 20
 
 
+def test_headlines_keep_their_markup(spark, tmp_path):
+    """The operator decodes a headline in full and keeps its markup, from which the query takes what its SQL states."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    html = ["<title>a &quot;b&quot;\u00a0 &amp;amp; c&amp</title>", "<title> x  &lt;y </title>", "<title>z &amp; w</title>"]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.headline for r in entry.queries()["src_10_web_articles"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == dict(con.execute(entry.oracle_sql()["src_10_web_articles"]).fetchall())
+    assert [pages.article(h)["headline"] for h in html] == ['a "b" &amp; c&', "x <y", "z & w"]
+
+
 def test_files_of_a_folder_are_all_listed(spark):
     import __spark_entry__ as entry
 
