@@ -48,6 +48,13 @@ def test_chains_and_cycles(spark):
     assert closure.chain(spark, links, 3).where("node = 4").count() == 4
 
 
+def test_survivors_of_long_chains(spark):
+    """The end of a chain, however long; a walk of bounded depth would stop on the way."""
+    links = spark.range(1501).selectExpr("id AS node", "CASE WHEN id > 0 THEN id - 1 END AS target")
+    got = closure.survivors(links)
+    assert got.count() == 1501 and got.where("survivor <> 0").isEmpty()
+
+
 def test_decisions_need_agreement(spark):
     s = spark.createDataFrame([(1, "office", 5), (1, "identifier", 5), (2, "office", 5), (2, "precedent", 6)], "mention_id long, signal string, person_id long")
     got = {r.mention_id: (r.outcome, r.person_id, r.signal) for r in identity.decide(s).collect()}
