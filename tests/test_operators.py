@@ -67,6 +67,23 @@ def test_either_key_join_gives_a_pair_once(spark):
     assert sorted((r.id, r.k) for r in relational.either_key_join(a, b, "s", "e", "k").collect()) == [(1, 10), (2, 10), (2, 11)]
 
 
+def test_agreeing_pairs_are_distinct(spark):
+    left = [(1, "a", 1), (1, "b", 1), (1, "a", 1), (2, "b", 1), (3, None, 1), (4, "a", 2), (None, "b", 1)]
+    right = [(7, "a", 1), (7, "b", 1), (8, "b", 1), (8, "b", 1), (9, None, 1), (None, "a", 2)]
+    a, b = spark.createDataFrame(left, "l long, x string, y long"), spark.createDataFrame(right, "r long, x string, y long")
+    want = sorted({(i, j) for i, *k in left for j, *m in right if k == m and k[0] is not None}, key=str)
+    for splits in (1, 3):
+        assert sorted(map(tuple, relational.agreeing_pairs(a, b, ["x", "y"], "l", "r", splits).collect()), key=str) == want
+
+
+def test_pairs_are_not_shuffled(spark):
+    import __spark_entry__ as entry
+
+    for name in ("jn_01_name_candidates", "jn_02_identifier_join", "jn_15_same_office", "rm_01_scored_candidates"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan.split("Join")[0]
+
+
 def test_versions_and_ids(spark):
     c = spark.createDataFrame([(1, 1, at(1), "a"), (1, 2, at(2), "a"), (1, 3, at(3), "b")], "artifact_id long, capture_id long, captured_at timestamp, sha256 string")
     assert [(r.capture_id, r.previous_id, r.version) for r in versioning.new_versions(c).orderBy("version").collect()] == [(1, None, 1), (3, 1, 2)]
