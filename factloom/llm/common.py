@@ -57,6 +57,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_memory() -> None:
+    """Hand freed memory of this process back to the system, where its allocators can; they keep it otherwise."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """Inside, a query's shuffle files are deleted when it ends, by Spark itself, and not when the driver happens to collect them."""

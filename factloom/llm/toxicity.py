@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fold_column, id_type, slices, table
+from factloom.llm.common import fold_column, id_type, release_memory, slices, table
 
 SAMPLE_ROWS = 4_000
 SAMPLE_SEGMENTS = 40_000
@@ -256,7 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2) -> Mode
     by = ["doc_id", "name", "place"]
     segments = texts.mapInArrow(cut, f"doc_id {id_type(docs)}, label int, name long, place long, segment string")
     chosen = segments.dropDuplicates([*by, "segment"]).orderBy(F.xxhash64(*by), *by, "segment").limit(SAMPLE_SEGMENTS)
-    return train(documents(chosen.toArrow().sort_by([(c, "ascending") for c in (*by, "segment")])))
+    model = train(documents(chosen.toArrow().sort_by([(c, "ascending") for c in (*by, "segment")])))
+    # a pipeline's later stages run in the same driver
+    release_memory()
+    return model
 
 
 def documents(sample):

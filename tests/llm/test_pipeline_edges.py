@@ -50,3 +50,21 @@ def test_empty_tables_pass_every_stage(spark, folder):
     none = table(spark, [])
     for name, stage in P.STAGES:
         assert stage(spark, none, folder).count() == 0, name
+
+
+def test_training_hands_its_memory_back(spark, monkeypatch):
+    """Freed memory leaves the driver's process, so that a later stage doesn't start with the training's."""
+    import psutil
+
+    from factloom.llm import common, toxicity
+
+    taken = [bytes(1000) for _ in range(200_000)]
+    taken = taken[-1:]
+    before = psutil.Process().memory_info().rss
+    common.release_memory()
+    assert taken and before - psutil.Process().memory_info().rss > 100_000_000
+    calls = []
+    monkeypatch.setattr(toxicity, "release_memory", lambda: calls.append(1))
+    docs, labels = spark.createDataFrame([(1, "bad words"), (2, "good words")], "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels)
+    assert calls == [1]
