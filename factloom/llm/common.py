@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from factloom.session import ship
 
 #: Rows turned into Python objects at a time inside an Arrow batch.
 SLICE = 256
+#: Rows of an Arrow batch where whole documents pass to Python and back.
+BATCH = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,28 @@ def slices(batches, size: int = SLICE) -> Iterator:
             yield batch.slice(at, size)
 
 
+def short_batches(spark: SparkSession, rows: int = BATCH) -> None:
+    """Hand rows to Python in Arrow batches of at most so many; the JVM and the worker both hold a whole batch, each more than once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def lean(run: Callable) -> Callable:
+    """A function of Arrow batches that ends its task without the memory it took.
+
+    Workers are reused by all later tasks, so what one keeps counts against each of
+    them. Everything that `run` held is freed before memory is handed back.
+    """
+
+    @wraps(run)
+    def task(batches):
+        yield from run(batches)
+        release_memory()
+
+    return task
+
+
 def fold(doc_id, mod: int) -> int | None:
     """crc32 of the id's decimal text, modulo `mod`; None for a null id."""
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % mod

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import saved, slices, table
+from factloom.llm.common import lean, saved, slices, table
 
 CORE = 0.75
 #: Drawn starts, documents of each; steps before the best starts are chosen; how many go on; steps at most.
@@ -102,7 +102,7 @@ def with_statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in counts.T)], [*part.schema.names, *(prefix + s for s in STATISTICS)])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{prefix}{s}` long" for s in STATISTICS)])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def base_failed(prefix: str = ""):

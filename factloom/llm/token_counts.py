@@ -10,7 +10,8 @@ the merges of the library's model. A bounded memo keeps what pieces gave.
 The cutting here handles texts made of characters whose normalisation, lower
 case and class are the same in Python and in the library (`PLAIN`). Any other
 text, and any text that holds a special token's string, is encoded whole by the
-library itself, so results are the library's for every input.
+library itself, so results are the library's for every input. The memo is a task's:
+workers outlive a task, and what one kept would count against all later stages.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from functools import cache as memo
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm.common import id_type, slices, table
+from factloom.llm.common import id_type, lean, release_memory, slices, table
 
-#: Memoised pre-tokens a worker keeps.
+#: Memoised pieces a task keeps.
 MEMO = 400_000
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-įı-ſ"
 NUMBERS = "0-9²³¹¼½¾"
@@ -102,20 +103,12 @@ class Encoder:
                 del known[t]
 
 
-#: Encoders of this process, by path and use.
-ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(path: str, use: str, value, proved) -> Encoder:
-    """This process's encoder for a use, made once from the broadcast set of proved tokens."""
-    if (path, use) not in ENCODERS:
-        ENCODERS[path, use] = Encoder(path, value, proved.value)
-    return ENCODERS[path, use]
-
-
 def proved(spark: SparkSession, path: str):
-    """The proved set of a vocabulary as a broadcast."""
-    return spark.sparkContext.broadcast(whole_tokens(path))
+    """The proved set of a vocabulary as a broadcast; the driver keeps the set, not the library it was proved with."""
+    whole = spark.sparkContext.broadcast(whole_tokens(path))
+    library.cache_clear()
+    release_memory()
+    return whole
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
@@ -129,7 +122,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     whole = proved(docs.sparkSession, path)
 
     def run(batches):
-        enc = encoder(path, "count", len, whole)
+        enc = Encoder(path, len, whole.value)
         for part in slices(batches):
             texts = part.column(1).to_pylist()
             n = [sum(v) for v in enc.texts(texts)]
@@ -140,7 +133,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             )
 
     schema = f"doc_id {id_type(docs)}, n_bytes long, n_tokens long, over_limit boolean"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

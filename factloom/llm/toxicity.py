@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fold_column, id_type, release_memory, slices, table
+from factloom.llm.common import fold_column, id_type, lean, release_memory, slices, table
 
 SAMPLE_ROWS = 4_000
 SAMPLE_SEGMENTS = 40_000
@@ -254,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2) -> Mode
             yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), *(pa.array(x, t) for x, t in zip(own, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "label", "name", "place", "segment"])
 
     by = ["doc_id", "name", "place"]
-    segments = texts.mapInArrow(cut, f"doc_id {id_type(docs)}, label int, name long, place long, segment string")
+    segments = texts.mapInArrow(lean(cut), f"doc_id {id_type(docs)}, label int, name long, place long, segment string")
     chosen = segments.dropDuplicates([*by, "segment"]).orderBy(F.xxhash64(*by), *by, "segment").limit(SAMPLE_SEGMENTS)
     model = train(documents(chosen.toArrow().sort_by([(c, "ascending") for c in (*by, "segment")])))
     # a pipeline's later stages run in the same driver
@@ -292,7 +292,7 @@ def score(docs: DataFrame, model: Model, mod: int = 4, held: int = 2) -> DataFra
             spans = [len(runs(x)) for x in np.split(p, np.cumsum(sizes)[:-1])] if len(sizes) else []
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got), pa.array((got >= THRESHOLD).astype(np.int32)), pa.array(spans, pa.int32())], ["doc_id", "score", "predicted", "n_spans"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, score double, predicted int, n_spans int")
+    out = docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {id_type(docs)}, score double, predicted int, n_spans int")
     return out.select("doc_id", F.coalesce(fold_column(F.col("doc_id"), mod) == held, F.lit(True)).alias("held_out"), "score", "predicted", "n_spans")
 
 
@@ -321,7 +321,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
             row, start, end, value = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(value, pa.float64())], ["doc_id", "start", "end", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, start long, end long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {id_type(docs)}, start long, end long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -339,7 +339,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for part in slices(batches):
             yield part.filter(pa.array(scorer.documents(part.column(at).to_pylist()) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,64 @@ def test_training_hands_its_memory_back(spark, monkeypatch):
     docs, labels = spark.createDataFrame([(1, "bad words"), (2, "good words")], "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     toxicity.fit(docs, labels)
     assert calls == [1]
+
+
+def test_tasks_leave_no_memos_in_workers(spark):
+    """Workers are reused, so what a packing or counting task kept would count against every later stage."""
+    import gc
+
+    import public_tokenizers
+    from factloom.llm import packing, token_counts
+
+    def left(batches):
+        import pyarrow as pa
+
+        held = [len(o.known) for o in gc.get_objects() if isinstance(o, token_counts.Encoder)]
+        for part in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max(held, default=0)] * part.num_rows, pa.int64())], ["held"])
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, [(i, f"alpha{i} beta gamma{i}") for i in range(400)])
+    assert packing.pack_documents(docs, path).count() == 400
+    assert token_counts.count_tokens(docs, path).count() == 400
+    assert {r.held for r in spark.range(400).repartition(8).mapInArrow(left, "held long").collect()} == {0}
+
+
+def test_a_task_frees_what_it_held_before_memory_is_handed_back(monkeypatch):
+    import weakref
+
+    from factloom.llm import common
+
+    class Memo(dict):
+        pass
+
+    made, found = [], []
+
+    def run(batches):
+        memo = Memo()
+        made.append(weakref.ref(memo))
+        for part in batches:
+            memo[part] = part
+            yield part
+
+    monkeypatch.setattr(common, "release_memory", lambda: found.append(made[0]()))
+    assert list(common.lean(run)(iter([1, 2]))) == [1, 2]
+    assert found == [None]
+
+
+def test_stages_hand_rows_to_python_in_short_batches(spark, folder):
+    import corpus_pipeline as P
+    from factloom.llm import common
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, then in (("10000", common.BATCH), ("0", common.BATCH), ("100", 100)):
+            spark.conf.set(name, given)
+            P.pack(spark, table(spark, [(1, "one text")]), folder)
+            assert int(spark.conf.get(name)) == then
+        spark.conf.set(name, str(common.BATCH))
+        docs = spark.range(0, 3000, 1, 1)
+        assert max(r.n for r in docs.mapInPandas(lambda parts: (p.assign(n=len(p))[["n"]] for p in parts), "n long").collect()) == common.BATCH
+    finally:
+        spark.conf.set(name, before)
