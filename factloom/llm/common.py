@@ -16,6 +16,8 @@ from factloom.session import ship
 SLICE = 256
 #: Rows of an Arrow batch where whole documents pass to Python and back.
 BATCH = 1024
+#: What tasks of a kind leave in this worker for the next of their kind.
+KEPT: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,15 +39,23 @@ def short_batches(spark: SparkSession, rows: int = BATCH) -> None:
         spark.conf.set(name, str(rows))
 
 
-def lean(run: Callable) -> Callable:
+def drop_kept(keeps=None) -> None:
+    """Free what tasks of other kinds have kept in this worker."""
+    for kind in KEPT.keys() - {keeps}:
+        del KEPT[kind]
+
+
+def lean(run: Callable, keeps=None) -> Callable:
     """A function of Arrow batches that ends its task without the memory it took.
 
     Workers are reused by all later tasks, so what one keeps counts against each of
-    them. Everything that `run` held is freed before memory is handed back.
+    them. Everything that `run` held is freed before memory is handed back; what
+    it keeps in KEPT under `keeps` stays until a task of another kind begins.
     """
 
     @wraps(run)
     def task(batches):
+        drop_kept(keeps)
         yield from run(batches)
         release_memory()
 

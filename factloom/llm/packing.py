@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import id_type, lean, saved, slices, table
-from factloom.llm.token_counts import Encoder, proved
+from factloom.llm.token_counts import encoder, proved
 
 GROUP = 20_000
 OPEN_BINS = 256
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_I
     whole = proved(docs.sparkSession, path)
 
     def run(batches):
-        enc, end = Encoder(path, packed_ids, whole.value), struct.pack("<I", end_id)
+        enc, end = encoder(path, "ids", packed_ids, whole), struct.pack("<I", end_id)
         for part in slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for k, values in enumerate(enc.texts(part.column(1).to_pylist())):
@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_I
             )
 
     schema = f"doc_id {id_type(docs)}, piece int, start long, length long, ids_crc32 long"
-    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run, (path, "ids")), schema)
 
 
 class BestFit:

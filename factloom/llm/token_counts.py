@@ -10,8 +10,8 @@ the merges of the library's model. A bounded memo keeps what pieces gave.
 The cutting here handles texts made of characters whose normalisation, lower
 case and class are the same in Python and in the library (`PLAIN`). Any other
 text, and any text that holds a special token's string, is encoded whole by the
-library itself, so results are the library's for every input. The memo is a task's:
-workers outlive a task, and what one kept would count against all later stages.
+library itself, so results are the library's for every input. A worker keeps the memo
+for its next task of the same use and drops it when a task of another kind begins.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from functools import cache as memo
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm.common import id_type, lean, release_memory, slices, table
+from factloom.llm.common import KEPT, id_type, lean, release_memory, slices, table
 
-#: Memoised pieces a task keeps.
+#: Memoised pieces a worker keeps between tasks of one use.
 MEMO = 400_000
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-įı-ſ"
 NUMBERS = "0-9²³¹¼½¾"
@@ -103,6 +103,13 @@ class Encoder:
                 del known[t]
 
 
+def encoder(path: str, use: str, value, proved) -> Encoder:
+    """This worker's encoder for a use, made from the broadcast set of proved tokens; `lean` drops it."""
+    if (path, use) not in KEPT:
+        KEPT[path, use] = Encoder(path, value, proved.value)
+    return KEPT[path, use]
+
+
 def proved(spark: SparkSession, path: str):
     """The proved set of a vocabulary as a broadcast; the driver keeps the set, not the library it was proved with."""
     whole = spark.sparkContext.broadcast(whole_tokens(path))
@@ -122,7 +129,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     whole = proved(docs.sparkSession, path)
 
     def run(batches):
-        enc = Encoder(path, len, whole.value)
+        enc = encoder(path, "count", len, whole)
         for part in slices(batches):
             texts = part.column(1).to_pylist()
             n = [sum(v) for v in enc.texts(texts)]
@@ -133,7 +140,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             )
 
     schema = f"doc_id {id_type(docs)}, n_bytes long, n_tokens long, over_limit boolean"
-    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run, (path, "count")), schema)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
