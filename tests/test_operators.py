@@ -76,6 +76,33 @@ def test_agreeing_pairs_are_distinct(spark):
         assert sorted(map(tuple, relational.agreeing_pairs(a, b, ["x", "y"], "l", "r", splits).collect()), key=str) == want
 
 
+def test_pairs_by_block_are_distinct(spark, monkeypatch):
+    """Each pair once where ids have several names or are null, with blocks cut, in one and in many tasks."""
+    left = [(i, "a") for i in range(7)] + [(1, "a"), (1, "b"), (2, "b"), (20, None), (None, "b"), (30, "c")]
+    right = [(i, "a") for i in range(40, 45)] + [(41, "b"), (50, "b"), (50, "b"), (51, None), (None, "a"), (60, "d")]
+    a, b = spark.createDataFrame(left, "mention_id long, name string"), spark.createDataFrame(right, "person_id long, name string")
+    want = sorted({(i, j) for i, x in left for j, y in right if x == y and x is not None}, key=str)
+    for block, task in ((2, 100_000_000), (100, 1)):
+        monkeypatch.setattr(relational, "BLOCK", block)
+        monkeypatch.setattr(relational, "TASK_PAIRS", task)
+        assert sorted(map(tuple, identity.by_name(a, b).collect()), key=str) == want
+    assert identity.by_name(a.limit(0), b).isEmpty()
+
+
+def test_pairs_of_a_name_take_little_room(spark, tmp_path):
+    """Files hold pairs of a common name in half a byte each, however many ids share it."""
+    a, b = spark.range(600).selectExpr("id AS mention_id", "'a' AS name"), spark.range(4003).selectExpr("id AS person_id", "'a' AS name")
+    out = str(tmp_path / "pairs")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as large tables are joined
+    try:
+        identity.by_name(a, b).write.parquet(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert spark.read.parquet(out).count() == 600 * 4003
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 600 * 4003 / 2
+
+
 def test_pairs_are_not_shuffled(spark):
     import __spark_entry__ as entry
 
