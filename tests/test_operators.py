@@ -103,6 +103,14 @@ def test_pairs_of_a_name_take_little_room(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 600 * 4003 / 2
 
 
+def test_named_pairs_come_from_blocks(spark):
+    import __spark_entry__ as entry
+
+    for name in ("jn_01_name_candidates", "rm_01_scored_candidates"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.split("Join")[0].count("Generate explode(") == 2
+
+
 def test_pairs_are_not_shuffled(spark):
     import __spark_entry__ as entry
 
